@@ -19,6 +19,7 @@ within its key, otherwise ties would be resolved differently on each attempt.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -53,6 +54,28 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and read it back.
+
+    For results that several later steps read: unlike a row checkpoint, the files
+    are columnar, so a step that needs three narrow columns reads no texts.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table of few files out to all cores before costly row-wise work.
+
+    A table with at least two partitions per core is left alone, so on large
+    inputs this adds no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if _partitions(df) < 2 * cores else df
+
+
 class OrderedScan:
     """Running computations over rows ordered within a key.
 

@@ -13,6 +13,7 @@ from .skew import last_per
 PLAN_LINE = "  • %s: %s - Input Token $%s, Output Tokens $%s"
 RECENT_COLUMNS = ("company_name", "plan_name", "input_tokens", "output_tokens", "currency")
 RECENT_ROWS = 5
+NULL_WORD = "None"
 # --- end of fixed values ----------------------------------------------------
 
 
@@ -73,7 +74,7 @@ def format_plans(plans: DataFrame) -> DataFrame:
             PLAN_LINE,
             F.col("company_name"),
             F.col("plan_name"),
-            F.col("input_tokens").cast("string"),
-            F.col("output_tokens").cast("string"),
+            F.coalesce(F.col("input_tokens").cast("string"), F.lit(NULL_WORD)),
+            F.coalesce(F.col("output_tokens").cast("string"), F.lit(NULL_WORD)),
         ).alias("line")
     )

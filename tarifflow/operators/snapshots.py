@@ -52,9 +52,14 @@ def clean_payloads(payloads: DataFrame, max_chars: int = text.MAX_CONTENT_CHARS)
 
 
 def build_snapshots(attempts: DataFrame) -> DataFrame:
-    """One row per (attempt, format) that was stored."""
-    return attempts.where("success").select(
-        "attempt_id", "provider", "scraped_at", F.inline("parts"), F.col("content_hash").alias("scrape_hash")
+    """One row per (attempt, format) that was stored.
+
+    A failed attempt has no parts.  ``coalesce`` keeps the optimizer from adding
+    a size filter, which it would push below the cleaning and so run it twice.
+    """
+    parts = F.expr("coalesce(parts, filter(parts, p -> false))")
+    return attempts.select(
+        "attempt_id", "provider", "scraped_at", F.inline(parts), F.col("content_hash").alias("scrape_hash")
     ).withColumn("content_length", F.length("content"))
 
 

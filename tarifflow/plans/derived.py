@@ -10,15 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators.ordered import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def money(cents: str) -> str:
     """Cents as text with two decimals."""
-    return f"concat({cents} DIV 100, '.', lpad(CAST({cents} % 100 AS STRING), 2, '0'))"
+    return f"concat(({cents}) DIV 100, '.', lpad(CAST(({cents}) % 100 AS STRING), 2, '0'))"
+
+
+# Names one line item; its first four columns alone are not unique.
+LINE_ITEM_ID = (
+    "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, "
+    "CAST(round(l_extendedprice * 100) AS BIGINT), date_format(l_shipdate, 'yyyyMMdd'))"
+)
 
 
 def page_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +54,7 @@ def price_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     success key and flag N none.
     """
     row = table(spark, sf_dir, "lineitem").select(
-        F.expr("concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)").alias("attempt_id"),
+        F.expr(LINE_ITEM_ID).alias("attempt_id"),
         F.expr("concat('part-', l_partkey)").alias("provider"),
         F.expr("concat('https://shop', l_suppkey, '.example.com/parts/', l_partkey)").alias("url"),
         F.col("l_shipdate").alias("scraped_at"),
@@ -165,7 +173,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     doc = f"concat('{{', {company}, '\"plans\": ', {plans}, '}}')"
     return row.selectExpr(
-        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS answer_id",
+        f"{LINE_ITEM_ID} AS answer_id",
         "concat('compare part ', l_partkey) AS source_query",
         "l_shipdate AS created_at",
         f"{doc} AS _doc",
@@ -228,7 +236,7 @@ def result_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logged SQL results: JSON for flag A, quoted literals for N, literals with
     a None for R; an empty list or text at quantities 1 and 2."""
     row = table(spark, sf_dir, "lineitem").selectExpr(
-        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS log_id",
+        f"{LINE_ITEM_ID} AS log_id",
         "l_suppkey",
         "l_partkey",
         "l_returnflag",

@@ -27,9 +27,9 @@ def dedup_urls(spark, sf_dir):
 @query(
     "cache_split",
     f"""WITH {O.REQUESTS},
-    entries AS (SELECT provider, arg_min(ok, requested_at) AS good, min(requested_at) AS at FROM requests GROUP BY 1)
+    entries AS (SELECT provider, arg_min(ok, requested_at) AS good, min(requested_at) AS first_at FROM requests GROUP BY 1)
     SELECT call_id, pos, r.provider,
-      NOT force AND good AND date_diff('microsecond', at, requested_at) < 86400000000 AS cache_hit
+      NOT force AND good AND date_diff('microsecond', first_at, requested_at) < 86400000000 AS cache_hit
     FROM requests r JOIN entries USING (provider)""",
 )
 def cache_split(spark, sf_dir):

@@ -82,7 +82,10 @@ def micros(ts: str) -> str:
     return f"epoch_us({ts})"
 
 
-ATTEMPT_ID = "l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey"
+ATTEMPT_ID = (
+    "l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || "
+    "round(l_extendedprice * 100)::BIGINT || '-' || strftime(l_shipdate, '%Y%m%d')"
+)
 
 # Price history: one attempt per line item with its two stored texts.
 HISTORY = f"""

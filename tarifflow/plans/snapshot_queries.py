@@ -8,6 +8,7 @@ from ..functions import text
 from ..operators import changes as ch
 from ..operators import lookup as lk
 from ..operators import snapshots as sn
+from ..operators.ordered import stage
 from ..sources.payloads import normalize_payload, page_fields
 from . import oracle_parts as O
 from .derived import (
@@ -24,7 +25,12 @@ READ_CAP = 400
 
 
 def _attempts(spark, sf_dir):
-    return sn.clean_payloads(price_payloads(spark, sf_dir))
+    """The attempt history as a stored table, as a crawler leaves it behind."""
+    return stage(sn.clean_payloads(price_payloads(spark, sf_dir)).drop("body", "raised", "formats"))
+
+
+def _documents(spark, sf_dir):
+    return stage(document_snapshots(spark, sf_dir))
 
 
 @query(
@@ -179,7 +185,7 @@ _DOC_STORED = f"""stored AS (
     f"WITH {_DOC_STORED} {O.PAIRS} SELECT attempt_id, provider, line, net FROM net_lines",
 )
 def line_diff_net(spark, sf_dir):
-    pairs = sn.snapshot_pairs(document_snapshots(spark, sf_dir))
+    pairs = sn.snapshot_pairs(_documents(spark, sf_dir))
     return ch.line_diff_net(pairs).select("attempt_id", "provider", "line", "net")
 
 
@@ -189,14 +195,14 @@ def line_diff_net(spark, sf_dir):
 )
 def line_diff_netted(spark, sf_dir):
     """The ordered diff, netted per line: must equal the order-free one."""
-    diff = ch.line_diff(sn.snapshot_pairs(document_snapshots(spark, sf_dir)))
+    diff = ch.line_diff(sn.snapshot_pairs(_documents(spark, sf_dir)))
     sign = F.expr("IF(change = 'added', 1L, -1L)")
     return diff.groupBy("attempt_id", "provider", "line").agg(F.sum(sign).alias("net")).where("net <> 0")
 
 
 @query("line_diff")
 def line_diff(spark, sf_dir):
-    return ch.line_diff(sn.snapshot_pairs(document_snapshots(spark, sf_dir)))
+    return ch.line_diff(sn.snapshot_pairs(_documents(spark, sf_dir)))
 
 
 def _report_columns(report):
