@@ -24,36 +24,39 @@ def line_diff(pairs: DataFrame) -> DataFrame:
     pairs are independent, and a text is bounded by the stored-text cap.
     """
     key_fields = ", ".join(f"{pairs.schema[c].name} {pairs.schema[c].dataType.simpleString()}" for c in _PAIR)
-    ready = pairs.select(
-        *_PAIR,
-        F.expr(text.read_text_sql("prior_content")).alias("prior_content"),
-        F.expr(text.read_text_sql("content")).alias("content"),
-    )
-    return ready.mapInPandas(_diff_batches, f"{key_fields}, seq BIGINT, change STRING, line STRING")
+    return pairs.select(*_PAIR, "prior_content", "content").mapInPandas(_diff_batches, f"{key_fields}, seq BIGINT, change STRING, line STRING")
 
 
 def _lines(value: str) -> list[str]:
+    value = value.replace("\r\n", "\n").replace("\r", "\n")
     pieces = value.split("\n")
     return [p + "\n" for p in pieces[:-1]] + pieces[-1:] * bool(pieces[-1])
 
 
+def changed_lines(old_text: str, new_text: str) -> Iterator[tuple[int, str, str]]:
+    """(seq, change, line) of one pair, in diff order."""
+    old, new = _lines(old_text), _lines(new_text)
+    seq = 0
+    for tag, i1, i2, j1, j2 in SequenceMatcher(None, old, new).get_opcodes():
+        if tag == "equal":
+            continue
+        for change, block in (("removed", old[i1:i2]), ("added", new[j1:j2])):
+            for line in block:
+                yield seq, change, line
+                seq += 1
+
+
 def _diff_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        out = []
-        for row in batch.itertuples(index=False):
-            old, new = _lines(row.prior_content), _lines(row.content)
-            seq = 0
-            for tag, i1, i2, j1, j2 in SequenceMatcher(None, old, new).get_opcodes():
-                if tag == "equal":
-                    continue
-                for change, piece in (("removed", old[i1:i2]), ("added", new[j1:j2])):
-                    for line in piece:
-                        out.append((row.attempt_id, row.provider, row.format, row.scraped_at, seq, change, line))
-                        seq += 1
+        out = [
+            (row.attempt_id, row.provider, row.format, row.scraped_at, *line)
+            for row in batch.itertuples(index=False)
+            for line in changed_lines(row.prior_content, row.content)
+        ]
         yield pd.DataFrame(out, columns=[*_PAIR, "seq", "change", "line"])
 
 
-def _is_listed(change: str, line: str) -> str:
+def is_listed_sql(change: str, line: str) -> str:
     """Price-like, and not one of the lines a diff reader takes for a file header."""
     mark = f"CASE {change} WHEN 'added' THEN '++' ELSE '--' END"
     return f"({text.is_price_like_sql(line)} AND NOT startswith({line}, {mark}))"
@@ -70,7 +73,7 @@ def line_diff_net(pairs: DataFrame, price_lines_only: bool = False) -> DataFrame
         every = text.lines_keep_ends_sql(column)
         if not price_lines_only:
             return F.expr(every)
-        return F.expr(f"filter({every}, l -> {_is_listed(repr(change), 'l')})")
+        return F.expr(f"filter({every}, l -> {is_listed_sql(repr(change), 'l')})")
 
     signed = F.concat(
         F.transform("_old", lambda l: F.struct(l.alias("line"), F.lit(-1).cast("bigint").alias("sign"))),
@@ -90,7 +93,7 @@ def line_diff_net(pairs: DataFrame, price_lines_only: bool = False) -> DataFrame
 def price_changes(diff: DataFrame) -> DataFrame:
     """Keep the price-like lines of a diff and clip them for display."""
     shown = f"substring({text.strip_sql('line')}, 1, {text.CLIP_CHARS})"
-    return diff.where(_is_listed("change", "line")).withColumn("line", F.expr(shown))
+    return diff.where(is_listed_sql("change", "line")).withColumn("line", F.expr(shown))
 
 
 def pricing_changes(

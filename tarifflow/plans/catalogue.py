@@ -1,4 +1,11 @@
 """All registered queries."""
 
-from . import frontier_queries, log_queries, plan_queries, snapshot_queries, text_queries  # noqa: F401
+from . import (  # noqa: F401
+    frontier_queries,
+    log_queries,
+    plan_queries,
+    snapshot_queries,
+    stream_queries,
+    text_queries,
+)
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators.ordered import spread
+from ..streaming.jobs import read_folder
+
+
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return read_folder(spark, sf_dir, schema, glob=f"{name}.parquet")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,14 +52,15 @@ def page_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def price_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+def price_payloads(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     """One scrape per line item; the provider is the part, the time its ship date.
 
     Covers both payload shapes and all failures: a third raise, quantity 50 and
     49 report failure with and without a message, flag A carries an explicit
-    success key and flag N none.
+    success key and flag N none.  ``lines`` may be a stream of line items.
     """
-    row = table(spark, sf_dir, "lineitem").select(
+    source = table(spark, sf_dir, "lineitem") if lines is None else lines
+    row = source.select(
         F.expr(LINE_ITEM_ID).alias("attempt_id"),
         F.expr("concat('part-', l_partkey)").alias("provider"),
         F.expr("concat('https://shop', l_suppkey, '.example.com/parts/', l_partkey)").alias("url"),
@@ -188,14 +195,15 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def trace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trace_lines(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """One trace line per event; clicks write a line that is no trace line."""
     stage = (
         "CASE event_type WHEN 'view' THEN 'THINKING' WHEN 'signup' THEN 'TOOL_RESULT' "
         "WHEN 'error' THEN 'TOOL_ERROR' WHEN 'purchase' THEN 'ANSWER' ELSE 'TOOL_CALL' END"
     )
     line = f"concat('  [', date_format(ts, 'HH:mm:ss'), '] * ', rpad({stage}, 11, ' '), ' ', props)"
-    return table(spark, sf_dir, "events").select(
+    source = table(spark, sf_dir, "events") if events is None else events
+    return source.select(
         F.col("event_id").alias("seq"),
         "ts",
         F.expr(f"CASE WHEN event_type = 'click' AND value < 10 THEN concat('more ', props) ELSE {line} END").alias("value"),
