@@ -102,17 +102,22 @@ def html_to_text_sql(html: str) -> str:
 
 def html_is_plain_sql(html: str) -> str:
     """True where the native chain is known to equal a full HTML parser: no other
-    character reference, no '>' inside a quoted attribute, no nested svg, no
-    CDATA section and no ruby/template text."""
+    character reference, no '>' inside a quoted attribute, no CDATA section or
+    ruby/template text, and svg/noscript neither nested nor left open."""
     rest = f"regexp_replace({_decode_entities_sql(html)}, '&amp;?', '')"
-    odd = (
-        r"(?is)<[a-z][^>]*=\s*(?:\"[^\"<>]*>|'[^'<>]*>)|<!\[|<(?:rt|rp|template)\b"
-        r"|<svg\b(?:(?!</svg).)*<svg\b"
-    )
-    return (
-        f"(NOT regexp_like({rest}, {lit_sql('&[#a-zA-Z]')}) "
-        f"AND NOT regexp_like({html}, {lit_sql(odd)}) AND NOT contains({html}, {lit_sql(_MARK)}))"
-    )
+    odd = r"(?is)<[a-z][^>]*=\s*(?:\"[^\"<>]*>|'[^'<>]*>)|<!\[|<(?:rt|rp|template)\b"
+    checks = [
+        f"NOT regexp_like({rest}, {lit_sql('&[#a-zA-Z]')})",
+        f"NOT regexp_like({html}, {lit_sql(odd)})",
+        f"NOT contains({html}, {lit_sql(_MARK)})",
+    ]
+    for tag in ("svg", "noscript"):
+        # Cut at every end tag: each piece may open the tag once, the last never.
+        pieces = f"split({html}, {lit_sql(rf'(?i)</{tag}\s*>')})"
+        opened = f"regexp_count(p, {lit_sql(rf'(?i)<{tag}\b')})"
+        fits = f"transform({pieces}, (p, i) -> {opened} <= IF(i = size({pieces}) - 1, 0, 1))"
+        checks.append(f"(NOT contains(lower({html}), '<{tag}') OR forall({fits}, ok -> ok))")
+    return "(" + " AND ".join(checks) + ")"
 
 
 def normalize_ws_sql(x: str) -> str:

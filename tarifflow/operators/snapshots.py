@@ -6,25 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.html import html_text_column
 from ..sources.payloads import normalize_payload, page_fields
 from .ordered import SPLIT_ROWS, OrderedScan
 from .skew import last_per
 
 
-def clean_payloads(payloads: DataFrame, max_chars: int = text.MAX_CONTENT_CHARS) -> DataFrame:
+def clean_payloads(
+    payloads: DataFrame, max_chars: int = text.MAX_CONTENT_CHARS, any_html: bool = True
+) -> DataFrame:
     """One attempt per payload row, everything computed inside the row.
 
     Input: attempt_id, provider, url, scraped_at, formats ARRAY<STRING>, body
     (JSON text), raised.  Output: the attempt's fields plus ``parts``, one struct
     per requested format in request order, and the hash over all of them.  No
     shuffle: the formats of an attempt never leave its row.
+
+    ``any_html=False`` keeps all pages on the native HTML chain, for sources known
+    to be plain; by default pages it cannot read exactly go to a parser.
     """
     shaped = page_fields(normalize_payload(payloads))
     # Two nested transforms bind the cleaned text once; cap and lengths reuse it.
     parts = f"""
         transform(
           transform(formats, f -> named_struct('format', f, 'cleaned',
-            {text.clean_content_sql("coalesce(_texts[f], '')", "f")})),
+            IF(f = 'html', _page_text, {text.normalize_ws_sql("coalesce(_texts[f], '')")}))),
           p -> named_struct('format', p.format, 'stored', {text.truncate_guard_sql("p.cleaned", max_chars)}))
     """
     flat = """
@@ -42,13 +48,16 @@ def clean_payloads(payloads: DataFrame, max_chars: int = text.MAX_CONTENT_CHARS)
     out = (
         shaped.withColumn("domain", text.url_domain("url"))
         .withColumn("_texts", F.expr("try_variant_get(payload, '$', 'map<string, string>')"))
+        .withColumn("_html", F.expr("IF(success AND array_contains(formats, 'html'), _texts['html'], NULL)"))
+        .withColumn("_page_text", html_text_column("_html") if any_html else text.html_to_text("_html"))
+        .withColumn("_page_text", F.coalesce(text.normalize_ws("_page_text"), F.lit("")))
         .withColumn("_parts", F.expr(f"CASE WHEN success THEN {parts} END"))
     )
     for name, sql in per_success.items():
         out = out.withColumn(name, F.expr(f"CASE WHEN success THEN {sql} END"))
     for name in ("title", "description"):
         out = out.withColumn(name, F.expr(f"CASE WHEN success THEN {name} END"))
-    return out.drop("_texts", "_parts", "payload")
+    return out.drop("_texts", "_html", "_page_text", "_parts", "payload")
 
 
 def build_snapshots(attempts: DataFrame) -> DataFrame:

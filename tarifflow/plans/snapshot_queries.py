@@ -26,7 +26,7 @@ READ_CAP = 400
 
 def _attempts(spark, sf_dir):
     """The attempt history as a stored table, as a crawler leaves it behind."""
-    return stage(sn.clean_payloads(price_payloads(spark, sf_dir)).drop("body", "raised", "formats"))
+    return stage(sn.clean_payloads(price_payloads(spark, sf_dir), any_html=False).drop("body", "raised", "formats"))
 
 
 def _documents(spark, sf_dir):

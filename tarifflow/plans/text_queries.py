@@ -127,7 +127,7 @@ def clip_line(spark, sf_dir):
     SELECT attempt_id, format, unnest(tokens) AS token, (generate_subscripts(tokens, 1) - 1)::BIGINT AS pos FROM found""",
 )
 def price_mentions(spark, sf_dir):
-    scraped = build_snapshots(clean_payloads(price_payloads(spark, sf_dir))).select("attempt_id", "format", "content")
+    scraped = build_snapshots(clean_payloads(price_payloads(spark, sf_dir), any_html=False)).select("attempt_id", "format", "content")
     docs = table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("attempt_id"), F.lit("document").alias("format"), F.col("text").alias("content")
     )
