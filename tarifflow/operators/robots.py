@@ -91,7 +91,7 @@ def robots_filter(frontier: DataFrame, policies: DataFrame) -> tuple[DataFrame,
     target = f"coalesce(nullif(regexp_replace({_decoded('url')}, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*', ''), ''), '/')"
     verdict = (
         "CASE access WHEN 'none' THEN false WHEN 'rules' THEN "
-        "coalesce(get(filter(rules, r -> r.path = '*' OR startswith(_target, r.path)), 0).allow, true) "
+        "coalesce(get(filter(rules, r -> startswith(_target, r.path)), 0).allow, true) "
         "ELSE true END"
     )
     decided = (
