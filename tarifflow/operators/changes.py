@@ -69,18 +69,18 @@ def line_diff_net(pairs: DataFrame, price_lines_only: bool = False) -> DataFrame
     pairs whose price lines are equal are dropped before anything is shuffled.
     """
 
-    def lines(column: str, change: str):
+    def lines(column: str):
         every = text.lines_keep_ends_sql(column)
-        if not price_lines_only:
-            return F.expr(every)
-        return F.expr(f"filter({every}, l -> {is_listed_sql(repr(change), 'l')})")
+        # Only a property both sides share may filter here: whether a line is
+        # taken for a header depends on the sign of its net change.
+        return F.expr(f"filter({every}, l -> {text.is_price_like_sql('l')})" if price_lines_only else every)
 
     signed = F.concat(
         F.transform("_old", lambda l: F.struct(l.alias("line"), F.lit(-1).cast("bigint").alias("sign"))),
         F.transform("_new", lambda l: F.struct(l.alias("line"), F.lit(1).cast("bigint").alias("sign"))),
     )
     return (
-        pairs.select(*_PAIR, lines("prior_content", "removed").alias("_old"), lines("content", "added").alias("_new"))
+        pairs.select(*_PAIR, lines("prior_content").alias("_old"), lines("content").alias("_new"))
         .where("_old <> _new")
         .select(*_PAIR, F.inline(signed))
         .groupBy(*_PAIR, "line")

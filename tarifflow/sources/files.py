@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..schemas import METADATA_ENTRY
 
-_NAME = r"^(.*)_([^_]+?)(_prior)?\.txt$"
+_NAME = r"^(.*)_((?!prior\.)[^_]+)(_prior)?\.txt$"
 
 
 def load_content_files(spark: SparkSession, folder: str) -> DataFrame:
