@@ -56,10 +56,13 @@ def _diff_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=[*_PAIR, "seq", "change", "line"])
 
 
+def is_no_header_sql(change: str, line: str) -> str:
+    """Not one of the lines a diff reader takes for a file header."""
+    return f"NOT startswith({line}, CASE {change} WHEN 'added' THEN '++' ELSE '--' END)"
+
+
 def is_listed_sql(change: str, line: str) -> str:
-    """Price-like, and not one of the lines a diff reader takes for a file header."""
-    mark = f"CASE {change} WHEN 'added' THEN '++' ELSE '--' END"
-    return f"({text.is_price_like_sql(line)} AND NOT startswith({line}, {mark}))"
+    return f"({text.is_price_like_sql(line)} AND {is_no_header_sql(change, line)})"
 
 
 def line_diff_net(pairs: DataFrame, price_lines_only: bool = False) -> DataFrame:
@@ -75,13 +78,14 @@ def line_diff_net(pairs: DataFrame, price_lines_only: bool = False) -> DataFrame
         # taken for a header depends on the sign of its net change.
         return F.expr(f"filter({every}, l -> {text.is_price_like_sql('l')})" if price_lines_only else every)
 
-    signed = F.concat(
-        F.transform("_old", lambda l: F.struct(l.alias("line"), F.lit(-1).cast("bigint").alias("sign"))),
-        F.transform("_new", lambda l: F.struct(l.alias("line"), F.lit(1).cast("bigint").alias("sign"))),
+    # Equal sides yield nothing.  Tested here and not in a filter, which would be
+    # pushed into the join below and split and match every line a second time.
+    signed = F.expr(
+        "IF(_old = _new, array(), concat(transform(_old, l -> named_struct('line', l, 'sign', -1L)), "
+        "transform(_new, l -> named_struct('line', l, 'sign', 1L))))"
     )
     return (
         pairs.select(*_PAIR, lines("prior_content").alias("_old"), lines("content").alias("_new"))
-        .where("_old <> _new")
         .select(*_PAIR, F.inline(signed))
         .groupBy(*_PAIR, "line")
         .agg(F.sum("sign").alias("net"))
@@ -90,42 +94,51 @@ def line_diff_net(pairs: DataFrame, price_lines_only: bool = False) -> DataFrame
     )
 
 
-def price_changes(diff: DataFrame) -> DataFrame:
-    """Keep the price-like lines of a diff and clip them for display."""
+def price_changes(diff: DataFrame, price_lines_only: bool = False) -> DataFrame:
+    """Keep the price-like lines of a diff and clip them for display.
+    ``price_lines_only``: the diff was made with that option, do not match again."""
     shown = f"substring({text.strip_sql('line')}, 1, {text.CLIP_CHARS})"
-    return diff.where(is_listed_sql("change", "line")).withColumn("line", F.expr(shown))
+    listed = is_no_header_sql("change", "line") if price_lines_only else is_listed_sql("change", "line")
+    return diff.where(listed).withColumn("line", F.expr(shown))
 
 
 def pricing_changes(
     attempts: DataFrame,
     providers: DataFrame | None = None,
     *,
+    snapshots: DataFrame | None = None,
     latest_only: bool = True,
     exact: bool = True,
     split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
     """The price-change report as flat rows, one per changed price line.
 
-    ``attempts`` comes from ``clean_payloads`` (or the stored history).  A failed
+    ``attempts`` is the stored history of ``clean_payloads`` rows, ``snapshots``
+    the stored ``build_snapshots`` table; with it, finding the pairs to compare
+    reads hashes and no texts.  A failed
     attempt is not reported; a changed hash is, even without a price line (then
     ``line`` is null).  ``providers`` (column ``provider``, from
     ``resolve_provider``) restricts the report.  ``latest_only=False`` gives the
     report as it stood after every attempt.  ``exact`` lists lines in diff order;
     otherwise the native net form is used, with ``n`` copies per line.
     """
+    if snapshots is None:
+        snapshots = build_snapshots(attempts, stored=True)
     if providers is not None:
-        attempts = attempts.join(providers.select("provider").distinct(), "provider", "left_semi")
+        wanted = providers.select("provider").distinct()
+        attempts = attempts.join(wanted, "provider", "left_semi")
+        snapshots = snapshots.join(wanted, "provider", "left_semi")
     flags = content_changed(attempts, split_rows)
     only = None
     if latest_only:
         narrow = attempts.select("attempt_id", "provider", "scraped_at", "success")
         only = latest_per_provider(narrow).where("success").select("attempt_id")
         flags = flags.join(only, "attempt_id", "left_semi")
-    pairs = snapshot_pairs(build_snapshots(attempts), only, split_rows)
+    pairs = snapshot_pairs(snapshots, only, split_rows)
     if exact:
         changes = price_changes(line_diff(pairs)).withColumn("n", F.lit(1).cast("bigint"))
     else:
-        net = price_changes(line_diff_net(pairs, price_lines_only=True))
+        net = price_changes(line_diff_net(pairs, price_lines_only=True), price_lines_only=True)
         changes = net.withColumn("n", F.abs("net")).withColumn("seq", F.lit(None).cast("bigint")).drop("net")
     return change_report(flags, changes)
 

@@ -35,7 +35,8 @@ def clean_payloads(
     """
     flat = """
         transform(_parts, (p, i) -> named_struct('pos', i, 'format', p.format, 'content', p.stored.content,
-          'was_truncated', p.stored.was_truncated, 'original_length', p.stored.original_length))
+          'was_truncated', p.stored.was_truncated, 'original_length', p.stored.original_length,
+          'text_hash', sha2(p.stored.content, 256)))
     """
     lengths = "map_from_entries(array_distinct(transform(parts, p -> struct(p.format, length(p.content)))))"
     per_success = {
@@ -60,16 +61,21 @@ def clean_payloads(
     return out.drop("_texts", "_html", "_page_text", "_parts", "payload")
 
 
-def build_snapshots(attempts: DataFrame) -> DataFrame:
-    """One row per (attempt, format) that was stored.
+def build_snapshots(attempts: DataFrame, stored: bool = False) -> DataFrame:
+    """One row per (attempt, format) that was stored; a failed attempt has none.
 
-    A failed attempt has no parts.  ``coalesce`` keeps the optimizer from adding
-    a size filter, which it would push below the cleaning and so run it twice.
+    ``stored`` says that ``attempts`` is read back from a table: then only the
+    nested fields that are used later are read from it.  On attempts that are
+    still being computed the optimizer would derive a size filter from that form
+    and push it below the cleaning, which would run twice; ``coalesce`` stops it.
     """
-    parts = F.expr("coalesce(parts, filter(parts, p -> false))")
-    return attempts.select(
-        "attempt_id", "provider", "scraped_at", F.inline(parts), F.col("content_hash").alias("scrape_hash")
-    ).withColumn("content_length", F.length("content"))
+    parts = "parts" if stored else "coalesce(parts, filter(parts, p -> false))"
+    exploded = attempts.select("attempt_id", "provider", "scraped_at", "content_hash", F.explode(F.expr(parts)).alias("_p"))
+    fields = ("pos", "format", "content", "was_truncated", "original_length", "text_hash")
+    return exploded.select(
+        "attempt_id", "provider", "scraped_at", *[F.col(f"_p.{f}").alias(f) for f in fields],
+        F.col("content_hash").alias("scrape_hash"), F.length("_p.content").alias("content_length"),
+    )
 
 
 def content_changed(attempts: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
@@ -98,9 +104,7 @@ def prior_snapshot(snapshots: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFr
     even if equal: attempt_id, provider, format, scraped_at, text_hash,
     prior_attempt_id, prior_text_hash.  Texts themselves stay where they are.
     """
-    narrow = snapshots.select(
-        "attempt_id", "provider", "format", "scraped_at", text.content_hash("content").alias("text_hash")
-    )
+    narrow = snapshots.select("attempt_id", "provider", "format", "scraped_at", "text_hash")
     scan = OrderedScan(narrow, ["provider", "format"], ["scraped_at", "attempt_id"], split_rows=split_rows).lag(
         "_before", "attempt_id", "text_hash"
     )

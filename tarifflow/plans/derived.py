@@ -108,7 +108,7 @@ def document_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("markdown").alias("format"),
         F.expr("timestampadd(MINUTE, doc_id, TIMESTAMP_NTZ '2024-01-01 00:00:00')").alias("scraped_at"),
         F.expr(text.clean_content_sql("text", "'markdown'")).alias("content"),
-    )
+    ).withColumn("text_hash", text.content_hash("content"))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,13 @@ def _attempts(spark, sf_dir):
     return stage(sn.clean_payloads(price_payloads(spark, sf_dir), any_html=False).drop("body", "raised", "formats"))
 
 
+def _report(spark, sf_dir, **options):
+    """The price report over stored attempts and stored snapshots."""
+    attempts = _attempts(spark, sf_dir)
+    snapshots = stage(sn.build_snapshots(attempts, stored=True))
+    return ch.pricing_changes(attempts, snapshots=snapshots, **options)
+
+
 def _documents(spark, sf_dir):
     return stage(document_snapshots(spark, sf_dir))
 
@@ -113,7 +120,10 @@ def scrape_lengths(spark, sf_dir):
       CASE WHEN content_changed THEN prev_hash END AS previous_content_hash FROM flags""",
 )
 def content_changed(spark, sf_dir):
-    return sn.content_changed(_attempts(spark, sf_dir))
+    narrow = sn.clean_payloads(price_payloads(spark, sf_dir), any_html=False).select(
+        "attempt_id", "provider", "scraped_at", "success", "content_hash"
+    )
+    return sn.content_changed(stage(narrow))
 
 
 @query(
@@ -123,7 +133,7 @@ def content_changed(spark, sf_dir):
     FROM stored WINDOW w AS (PARTITION BY provider, format ORDER BY scraped_at, attempt_id)""",
 )
 def prior_snapshot(spark, sf_dir):
-    history = sn.prior_snapshot(sn.build_snapshots(_attempts(spark, sf_dir)))
+    history = sn.prior_snapshot(sn.build_snapshots(_attempts(spark, sf_dir), stored=True))
     return history.select(
         "attempt_id", "provider", "format", "prior_attempt_id", F.col("prior_text_hash").alias("prior_hash")
     )
@@ -227,17 +237,17 @@ _REPORT = f"""WITH {O.FLAGS},
 
 @query("pricing_changes_history", f"{_REPORT} SELECT * FROM report")
 def pricing_changes_history(spark, sf_dir):
-    return _report_columns(ch.pricing_changes(_attempts(spark, sf_dir), latest_only=False, exact=False))
+    return _report_columns(_report(spark, sf_dir, latest_only=False, exact=False))
 
 
 @query("pricing_changes", f"{_REPORT} SELECT * FROM report SEMI JOIN newest USING (attempt_id)")
 def pricing_changes(spark, sf_dir):
-    return _report_columns(ch.pricing_changes(_attempts(spark, sf_dir), exact=False))
+    return _report_columns(_report(spark, sf_dir, exact=False))
 
 
 @query("pricing_changes_ordered")
 def pricing_changes_ordered(spark, sf_dir):
-    return ch.pricing_changes(_attempts(spark, sf_dir), exact=True)
+    return _report(spark, sf_dir, exact=True)
 
 
 @query(
@@ -257,7 +267,7 @@ def checked_providers(spark, sf_dir):
         "CAST(l_suppkey AS STRING) AS call_id", "concat('part-', l_partkey) AS provider"
     ).distinct()
     single = pair.select(F.concat(F.lit("single "), "provider").alias("call_id"), "provider").distinct()
-    report = ch.pricing_changes(_attempts(spark, sf_dir), exact=False)
+    report = _report(spark, sf_dir, exact=False)
     return ch.checked_providers(pair.unionByName(single), report)
 
 
