@@ -11,8 +11,7 @@ import os
 import sys
 import time
 
-from pyspark.sql import SparkSession
-
+from tarifflow import session
 from tarifflow.plans.catalogue import QUERIES
 
 HEADLINE = (
@@ -42,16 +41,16 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS") or str(os.cpu_count())
     names = sys.argv[1:] or HEADLINE
-    spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName("bench")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "12g")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", cpus)
-        .config("spark.log.level", "ERROR")
-        .getOrCreate()
+    spark = session.build(
+        "bench",
+        **{
+            "spark.master": f"local[{cpus}]",
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+            "spark.driver.memory": "12g",
+            "spark.sql.shuffle.partitions": cpus,
+            "spark.log.level": "ERROR",
+        },
     )
     spark.range(1000).selectExpr("sum(id)").collect()
     times = {}

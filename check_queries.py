@@ -13,21 +13,22 @@ from pathlib import Path
 import duckdb
 from pyspark.sql import SparkSession
 
+from tarifflow import session
 from tarifflow.plans.catalogue import ORACLES, QUERIES
 
 
-def session(cpus: int = 8) -> SparkSession:
-    spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "8g")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.log.level", "ERROR")
-        .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
+def local_session() -> SparkSession:
+    return session.build(
+        "check",
+        **{
+            "spark.master": "local[*]",
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+            "spark.driver.memory": "8g",
+            "spark.sql.shuffle.partitions": "8",
+            "spark.log.level": "ERROR",
+        },
     )
-    return spark
 
 
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
@@ -62,7 +63,7 @@ def compare(spark: SparkSession, con: duckdb.DuckDBPyConnection, sf_dir: str, na
 def main() -> int:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:] or list(QUERIES)
-    spark, con, bad = session(), duck(sf_dir), 0
+    spark, con, bad = local_session(), duck(sf_dir), 0
     for name in wanted:
         start = time.time()
         try:

@@ -214,10 +214,8 @@ def _chase_segments(rows: DataFrame, seg: list[str], columns: list[str], ttl: in
         .where("_kind = 0")
         .select(*seg, "_i", "_next")
     )
-    last = rows.groupBy(*seg).agg(F.max("_i").alias("_end"))
-    if_failed = (
-        rows.where("NOT ok").join(last, seg).select(*seg, "_i", F.expr("IF(_i < _end, _i + 1, NULL)").alias("_next"))
-    )
+    # The number after a segment's last row belongs to no row and leads nowhere.
+    if_failed = rows.where("NOT ok").select(*seg, "_i", (F.col("_i") + 1).alias("_next"))
     pointers = durable(looked_up.unionByName(if_failed).where("_next IS NOT NULL"))
     fetched = rows.where("_start").select(*seg, "_i")
     key = [*seg, "_i"]

@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SPLIT_ROWS = 1_000_000
-# Carry and hot-key tables up to this many rows are broadcast; beyond it the join
-# is left to the optimizer.
-BROADCAST_ROWS = 20_000
+# Carry and hot-key tables (narrow rows) up to this size are broadcast; beyond it
+# the join is left to the optimizer.
+BROADCAST_ROWS = 200_000
 _CHUNK = "_chunk"
 _GLOBAL = "_all"
 
@@ -48,6 +48,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(configured)
 
 
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the folder all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: cuts the lineage and survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -60,8 +66,7 @@ def stage(df: DataFrame) -> DataFrame:
     For results that several later steps read: unlike a row checkpoint, the files
     are columnar, so a step that needs three narrow columns reads no texts.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -101,7 +106,7 @@ class OrderedScan:
             df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > split_rows).select(*self.keys)
         )
         n_hot = hot.count()
-        self._settled = True
+        self._settled, self._n_hot = True, n_hot
         if n_hot == 0:
             self.cold, self.hot = df, None
             return
@@ -119,7 +124,7 @@ class OrderedScan:
     def _with(self, cold: DataFrame, hot: DataFrame | None, settled: bool) -> "OrderedScan":
         scan = object.__new__(OrderedScan)
         scan.keys, scan.order_names, scan.descending = self.keys, self.order_names, self.descending
-        scan.cold, scan.hot, scan._settled = cold, hot, settled
+        scan.cold, scan.hot, scan._settled, scan._n_hot = cold, hot, settled, self._n_hot
         return scan
 
     def _scan(
@@ -146,9 +151,8 @@ class OrderedScan:
             .withColumn("_carry", combine(before))
             .drop("_summary")
         )
-        # Each range partition yields one summary per hot key it holds: at most
-        # (hot keys + partitions) rows.
-        if _partitions(chunks) <= BROADCAST_ROWS:
+        # Ranges are contiguous, so there are at most (hot keys + ranges) summaries.
+        if self._n_hot + _partitions(chunks) <= BROADCAST_ROWS:
             carry = F.broadcast(carry)
         inside = Window.partitionBy(*chunk_keys).orderBy(*self._order())
         hot = (

@@ -8,8 +8,11 @@ from ..functions import text
 from ..operators import changes as ch
 from ..operators import lookup as lk
 from ..operators import snapshots as sn
-from ..operators.ordered import stage
+from ..operators.ordered import shared_path, stage
+from ..sources.files import parse_metadata
 from ..sources.payloads import normalize_payload, page_fields
+from ..sources.tables import current_snapshots as sources_current
+from ..sources.tables import read_snapshots, write_snapshots
 from . import oracle_parts as O
 from .derived import (
     document_snapshots,
@@ -183,6 +186,44 @@ def upsert_metadata(spark, sf_dir):
     return sn.upsert_metadata(old, new)
 
 
+@query(
+    "load_metadata",
+    f"""WITH entries AS (
+      SELECT page_id, 0::BIGINT AS ord, 'page-' || page_id AS provider_name, url, html LIKE '%</html>%' AS success,
+        length(html)::BIGINT AS html_length, NULL AS error FROM pages
+      UNION ALL
+      SELECT page_id, 1, 'again-' || page_id, url || '?again', false, NULL, 'timeout' FROM pages)
+    SELECT * FROM entries""",
+)
+def load_metadata(spark, sf_dir):
+    """One document with two entries per page; unreadable ones yield nothing."""
+    document = (
+        "concat('{\"page-', page_id, '\": {\"url\": \"', url, '\", \"success\": \"', html LIKE '%</html>%', "
+        "'\", \"content_lengths\": {\"html\": ', length(html), '}}, \"again-', page_id, '\": {\"url\": \"', url, "
+        "'?again\", \"success\": \"false\", \"error\": \"timeout\"}}')"
+    )
+    pages = table(spark, sf_dir, "pages").selectExpr("page_id", f"{document} AS value")
+    broken = pages.withColumn("value", F.expr("left(value, length(value) - 3)"))
+    return parse_metadata(pages.unionByName(broken)).select(
+        "page_id", "ord", "provider_name", "url", "success",
+        F.expr("CAST(content_lengths['html'] AS BIGINT)").alias("html_length"), "error",
+    )
+
+
+@query(
+    "current_snapshots",
+    f"""WITH {O.STORED}
+    SELECT provider, format, attempt_id, content FROM stored
+    QUALIFY row_number() OVER (PARTITION BY provider, format ORDER BY scraped_at DESC, attempt_id DESC) = 1""",
+)
+def current_snapshots(spark, sf_dir):
+    """Written to the history table, then read back as the current state."""
+    path = shared_path(spark, "snapshots")
+    attempts = sn.clean_payloads(price_payloads(spark, sf_dir), any_html=False)
+    write_snapshots(sn.build_snapshots(attempts), path, grain="month")
+    return sources_current(read_snapshots(spark, path)).select("provider", "format", "attempt_id", "content")
+
+
 # --- changes -----------------------------------------------------------------------
 
 _DOC_STORED = f"""stored AS (

@@ -43,9 +43,7 @@ def load_content(spark: SparkSession, folder: str, metadata: DataFrame) -> DataF
 
 
 def load_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """A metadata document (one object keyed by provider) as rows in stored order
-    (``ord``).  An absent or unreadable document has no entries."""
-    schema = f"MAP<STRING, STRUCT<{_colons(METADATA_ENTRY)}>>"
+    """A metadata document file as rows; an absent one has no entries."""
     empty = spark.range(0).select(F.lit("").alias("value"))
     try:
         docs = spark.read.format("text").option("wholetext", True).load(path)
@@ -53,9 +51,18 @@ def load_metadata(spark: SparkSession, path: str) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(problem):
             raise
         docs = empty
-    entries = docs.select(F.from_json("value", schema).alias("_m"))
-    rows = entries.select(F.posexplode(F.map_entries("_m")).alias("ord", "e"))
+    return parse_metadata(docs)
+
+
+def parse_metadata(docs: DataFrame, column: str = "value") -> DataFrame:
+    """Metadata documents (each one object keyed by provider) as rows in stored
+    order (``ord``); other columns are kept.  An unreadable one has no entries."""
+    schema = f"MAP<STRING, STRUCT<{_colons(METADATA_ENTRY)}>>"
+    kept = [c for c in docs.columns if c != column]
+    entries = docs.select(*kept, F.from_json(column, schema).alias("_m"))
+    rows = entries.select(*kept, F.posexplode(F.map_entries("_m")).alias("ord", "e"))
     return rows.select(
+        *kept,
         F.col("ord").cast("bigint").alias("ord"),
         F.coalesce("e.value.provider_name", "e.key").alias("provider_name"),
         *[F.col(f"e.value.{c}").alias(c) for c in _names(METADATA_ENTRY) if c not in ("provider_name", "success")],

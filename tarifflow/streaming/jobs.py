@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text
 from ..operators.changes import changed_lines, is_listed_sql
-from ..operators.ordered import ensure_checkpoint_dir
+from ..operators.ordered import shared_path
 
 _OUT = (
     "kind STRING, attempt_id STRING, provider STRING, format STRING, scraped_at TIMESTAMP_NTZ, "
@@ -140,8 +139,7 @@ def run_available(stream: DataFrame, output_mode: str = "append") -> DataFrame:
     """Run a stream over everything available now, into a new table in the shared
     checkpoint folder, and return that table."""
     spark = stream.sparkSession
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    base = shared_path(spark, "stream")
     query = (
         stream.writeStream.format("parquet")
         .option("path", f"{base}/table")

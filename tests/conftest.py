@@ -8,19 +8,19 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    from pyspark.sql import SparkSession
+    from tarifflow.session import build
 
-    session = (
-        SparkSession.builder.master("local[*]")
-        .appName("tests")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "6g")
-        .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
-        .config("spark.log.level", "ERROR")
-        .getOrCreate()
+    session = build(
+        "tests",
+        **{
+            "spark.master": "local[*]",
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+            "spark.driver.memory": "6g",
+            "spark.sql.shuffle.partitions": "8",
+            "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
+            "spark.log.level": "ERROR",
+        },
     )
     yield session
     session.stop()
