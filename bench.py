@@ -26,7 +26,7 @@ HEADLINE = (
     "cache_replay",
     "robots_filter",
     "throttle_schedule",
-    "frontier_plan",
+    "plan_collection",
     "resolve_provider",
     "extract_info",
     "plan_defaults",

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .ordered import BROADCAST_ROWS, SPLIT_ROWS, OrderedScan, durable
+from .ordered import BROADCAST_ROWS, SPLIT_ROWS, OrderedScan, durable, stage
+from .robots import mark_robots
 from .skew import first_per
 
 # --- fixed values -----------------------------------------------------------
@@ -25,11 +26,11 @@ def dedup_urls(frontier: DataFrame) -> DataFrame:
     return first_per(frontier, ["call_id", "url"], ["pos"])
 
 
-def cache_split(
+def mark_cache_hits(
     frontier: DataFrame, metadata: DataFrame, now: str, ttl_hours: int = text.CACHE_TTL_HOURS
-) -> tuple[DataFrame, DataFrame]:
-    """(hits, misses): a hit is not forced and its provider's last attempt
-    succeeded and is fresh.  The provider name is the cache key, not the URL.
+) -> DataFrame:
+    """Adds ``cache_hit``: not forced, and the provider's last attempt succeeded
+    and is fresh.  The provider name is the cache key, not the URL.
 
     ``now`` is an SQL expression over the frontier, such as ``requested_at``.
     """
@@ -40,8 +41,15 @@ def cache_split(
     )
     hit = ~F.col("force") & F.coalesce("_ok", F.lit(False)) & text.is_fresh("_scraped_at", now, ttl_hours)
     decided = frontier.join(entries, "provider", "left").withColumn("cache_hit", hit)
-    decided = decided.select(*frontier.columns, "cache_hit")
-    return decided.where("cache_hit").drop("cache_hit"), decided.where("NOT cache_hit").drop("cache_hit")
+    return decided.select(*frontier.columns, "cache_hit")
+
+
+def cache_split(
+    frontier: DataFrame, metadata: DataFrame, now: str, ttl_hours: int = text.CACHE_TTL_HOURS
+) -> tuple[DataFrame, DataFrame]:
+    """(hits, misses) of ``mark_cache_hits``."""
+    marked = mark_cache_hits(frontier, metadata, now, ttl_hours)
+    return marked.where("cache_hit").drop("cache_hit"), marked.where("NOT cache_hit").drop("cache_hit")
 
 
 def throttle_schedule(
@@ -77,6 +85,39 @@ def throttle_schedule(
     )
 
 
+def plan_collection(
+    frontier: DataFrame,
+    metadata: DataFrame,
+    policies: DataFrame,
+    now: str = "requested_at",
+    ttl_hours: int = text.CACHE_TTL_HOURS,
+    gap_seconds: float = MIN_REQUEST_GAP_SECONDS,
+    split_rows: int = SPLIT_ROWS,
+) -> DataFrame:
+    """Decide every row of a frontier, in the order a crawler checks: duplicates
+    of a call go first, then cache hits, then what robots rules forbid; the rest
+    is scheduled.
+
+    Adds ``decision`` ('duplicate', 'cache_hit', 'blocked', 'fetch') and, for
+    fetches, ``dispatch_at`` and ``wait_ms``.
+    """
+    key = ["call_id", "pos"]
+    kept = dedup_urls(frontier.select(*key, "url")).select(*key, F.lit(True).alias("_first"))
+    marked = mark_cache_hits(frontier.join(kept, key, "left"), metadata, now, ttl_hours)
+    decision = (
+        F.when(F.col("_first").isNull(), "duplicate")
+        .when(F.col("cache_hit"), "cache_hit")
+        .when(~F.col("robots_allowed"), "blocked")
+        .otherwise("fetch")
+    )
+    # Written once: the schedule reads the fetches, the rest is passed through.
+    judged = stage(
+        mark_robots(marked, policies).withColumn("decision", decision).drop("_first", "cache_hit", "robots_allowed")
+    )
+    fetches = throttle_schedule(judged.where("decision = 'fetch'"), gap_seconds, split_rows=split_rows)
+    return fetches.unionByName(judged.where("decision <> 'fetch'"), allowMissingColumns=True)
+
+
 def retry_outcome(
     attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS, base_seconds: float = BACKOFF_BASE_SECONDS
 ) -> DataFrame:

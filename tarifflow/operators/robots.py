@@ -82,8 +82,8 @@ def robots_rules(robots_txt: DataFrame) -> DataFrame:
     )
 
 
-def robots_filter(frontier: DataFrame, policies: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(allowed, blocked) rows of a frontier with ``domain`` and ``url``.
+def mark_robots(frontier: DataFrame, policies: DataFrame) -> DataFrame:
+    """Adds ``robots_allowed`` to a frontier with ``domain`` and ``url``.
 
     One equi-join on domain; the first rule in file order whose path is a prefix
     decides, found inside the row, so no rule rows multiply the frontier.
@@ -94,14 +94,19 @@ def robots_filter(frontier: DataFrame, policies: DataFrame) -> tuple[DataFrame,
         "coalesce(get(filter(rules, r -> startswith(_target, r.path)), 0).allow, true) "
         "ELSE true END"
     )
-    decided = (
+    return (
         frontier.join(policies, "domain", "left")
         .withColumn("_target", F.expr(target))
-        .withColumn("_allowed", F.expr(verdict))
-        .select(*frontier.columns, "_allowed")
+        .withColumn("robots_allowed", F.expr(verdict))
+        .select(*frontier.columns, "robots_allowed")
     )
-    allowed = decided.where("_allowed").drop("_allowed")
-    blocked = decided.where("NOT _allowed").drop("_allowed").select(
+
+
+def robots_filter(frontier: DataFrame, policies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(allowed, blocked) rows; a blocked one is a failure with its message."""
+    marked = mark_robots(frontier, policies)
+    allowed = marked.where("robots_allowed").drop("robots_allowed")
+    blocked = marked.where("NOT robots_allowed").drop("robots_allowed").select(
         "*", F.lit(False).alias("success"), F.lit(BLOCKED_MESSAGE).alias("error")
     )
     return allowed, blocked

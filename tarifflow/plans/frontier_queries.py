@@ -24,6 +24,14 @@ def dedup_urls(spark, sf_dir):
     return fr.dedup_urls(requests(spark, sf_dir).select("call_id", "pos", "provider", "url"))
 
 
+def _earliest_entries(reqs):
+    """Metadata as the first request of each provider would leave it."""
+    order = ["requested_at", "call_id", "pos"]
+    return first_per(reqs.select("provider", "ok", *order), ["provider"], order).select(
+        F.col("provider").alias("provider_name"), F.col("ok").alias("success"), F.col("requested_at").alias("scraped_at")
+    )
+
+
 @query(
     "cache_split",
     f"""WITH {O.REQUESTS},
@@ -34,12 +42,7 @@ def dedup_urls(spark, sf_dir):
 )
 def cache_split(spark, sf_dir):
     reqs = requests(spark, sf_dir)
-    entries = first_per(
-        reqs.select("provider", "ok", "requested_at", "call_id", "pos"), ["provider"], ["requested_at", "call_id", "pos"]
-    ).select(
-        F.col("provider").alias("provider_name"), F.col("ok").alias("success"), F.col("requested_at").alias("scraped_at")
-    )
-    hits, misses = fr.cache_split(reqs, entries, "requested_at")
+    hits, misses = fr.cache_split(reqs, _earliest_entries(reqs), "requested_at")
     key = ["call_id", "pos", "provider"]
     return hits.select(*key, F.lit(True).alias("cache_hit")).unionByName(
         misses.select(*key, F.lit(False).alias("cache_hit"))
@@ -117,21 +120,29 @@ def throttle_schedule(spark, sf_dir):
 
 
 @query(
-    "frontier_plan",
+    "plan_collection",
     f"""WITH {O.REQUESTS},
-    firsts AS (SELECT * FROM requests QUALIFY row_number() OVER (PARTITION BY call_id, url ORDER BY pos) = 1),
-    open AS (SELECT * FROM firsts WHERE {_ALLOWED}),
+    entries AS (SELECT provider, arg_min(ok, requested_at) AS good, min(requested_at) AS first_at FROM requests GROUP BY 1),
+    judged AS (
+      SELECT r.*, CASE
+          WHEN row_number() OVER (PARTITION BY call_id, url ORDER BY pos) > 1 THEN 'duplicate'
+          WHEN NOT force AND good AND date_diff('microsecond', first_at, requested_at) < 86400000000 THEN 'cache_hit'
+          WHEN NOT ({_ALLOWED}) THEN 'blocked' ELSE 'fetch' END AS decision
+      FROM requests r JOIN entries USING (provider)),
     numbered AS (
       SELECT *, {O.micros('requested_at')} AS t,
-        row_number() OVER (PARTITION BY domain ORDER BY requested_at, call_id, pos) AS i FROM open)
-    SELECT call_id, pos, provider, url, (i * {GAP_SECONDS}000000 + max(t - i * {GAP_SECONDS}000000) OVER (
-        PARTITION BY domain ORDER BY i ROWS UNBOUNDED PRECEDING) - t) // 1000 AS wait_ms FROM numbered""",
+        row_number() OVER (PARTITION BY domain ORDER BY requested_at, call_id, pos) AS i
+      FROM judged WHERE decision = 'fetch'),
+    waits AS (
+      SELECT call_id, pos, (i * {GAP_SECONDS}000000 + max(t - i * {GAP_SECONDS}000000) OVER (
+        PARTITION BY domain ORDER BY i ROWS UNBOUNDED PRECEDING) - t) // 1000 AS wait_ms FROM numbered)
+    SELECT call_id, pos, provider, url, decision, wait_ms FROM judged LEFT JOIN waits USING (call_id, pos)""",
 )
-def frontier_plan(spark, sf_dir):
-    """Duplicates out, robots out, the rest scheduled."""
-    reqs = requests(spark, sf_dir).select("call_id", "pos", "provider", "url", "domain", "requested_at")
-    allowed, _ = rb.robots_filter(fr.dedup_urls(reqs), rb.robots_policies(robots_texts(spark, sf_dir)))
-    return fr.throttle_schedule(allowed, GAP_SECONDS).select("call_id", "pos", "provider", "url", "wait_ms")
+def plan_collection(spark, sf_dir):
+    reqs = requests(spark, sf_dir)
+    policies = rb.robots_policies(robots_texts(spark, sf_dir))
+    decided = fr.plan_collection(reqs, _earliest_entries(reqs), policies, gap_seconds=GAP_SECONDS)
+    return decided.select("call_id", "pos", "provider", "url", "decision", "wait_ms")
 
 
 @query(

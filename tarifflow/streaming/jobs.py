@@ -63,23 +63,29 @@ def _match_up(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) ->
     last_at, last_attempt, last_hash, stored = state.get if state.exists else (None, "", "", "{}")
     texts = json.loads(stored)
     # Order within a micro-batch is ours to make; its size is set by the trigger.
-    batch = pd.concat(list(frames)).sort_values(["scraped_at", "attempt_id"])
+    rows = sorted(
+        (at, attempt, digest, parts)
+        for frame in frames
+        for at, attempt, digest, parts in zip(
+            frame["scraped_at"].dt.to_pydatetime(), frame["attempt_id"], frame["content_hash"], frame["texts"]
+        )
+    )
     out = []
-    for row in batch.itertuples(index=False):
-        at = pd.Timestamp(row.scraped_at)
-        if last_at is not None and (at, row.attempt_id) < (pd.Timestamp(last_at), last_attempt):
-            out.append(("late", row.attempt_id, provider, None, at, None, None, None))
+    for at, attempt, digest, parts in rows:
+        if last_at is not None and (at, attempt) < (last_at, last_attempt):
+            out.append(("late", attempt, provider, None, at, None, None, None))
             continue
-        if row.content_hash and last_hash and row.content_hash != last_hash:
-            out.append(("flag", row.attempt_id, provider, None, at, pd.Timestamp(last_at), None, None))
-        for part in json.loads(row.texts) if row.texts else ():
+        if digest and last_hash and digest != last_hash:
+            out.append(("flag", attempt, provider, None, at, last_at, None, None))
+        for part in json.loads(parts) if parts else ():
             before = texts.get(part["format"])
             if before is not None and before != part["content"]:
-                out.append(("pair", row.attempt_id, provider, part["format"], at, None, before, part["content"]))
+                out.append(("pair", attempt, provider, part["format"], at, None, before, part["content"]))
             texts[part["format"]] = part["content"]
-        last_at, last_attempt, last_hash = at.to_pydatetime(), row.attempt_id, row.content_hash
+        last_at, last_attempt, last_hash = at, attempt, digest
     state.update((last_at, last_attempt, last_hash, json.dumps(texts)))
-    yield pd.DataFrame(out, columns=_COLUMNS)
+    if out:
+        yield pd.DataFrame(out, columns=_COLUMNS)
 
 
 def stream_changes(attempts: DataFrame, partitions: int | None = None) -> DataFrame:

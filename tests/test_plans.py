@@ -55,6 +55,13 @@ def test_quotes_survive(spark):
     assert back.f == plan["features"]
 
 
+def test_features_text_is_ascii(spark):
+    lists = [["é €5", "tick ✓"], ["😀 ok", "plain"], [], ["tab\tend", "back\\\\slash \"q\""]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i INT, features ARRAY<STRING>")
+    got = [r.t for r in df.select("i", ex.features_json().alias("t")).orderBy("i").collect()]
+    assert got == [json.dumps(x) for x in lists]
+
+
 @pytest.fixture
 def plans_table(spark):
     name = f"plans_{datetime.now().strftime('%H%M%S%f')}"
