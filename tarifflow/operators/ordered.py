@@ -31,6 +31,7 @@ SPLIT_ROWS = 1_000_000
 # Carry and hot-key tables (narrow rows) up to this size are broadcast; beyond it
 # the join is left to the optimizer.
 BROADCAST_ROWS = 200_000
+MAX_CHUNKS = 20_000
 _CHUNK = "_chunk"
 _GLOBAL = "_all"
 
@@ -102,18 +103,20 @@ class OrderedScan:
         self.descending = descending
         if not keys:
             df = df.withColumn(_GLOBAL, F.lit(0))
-        hot = durable(
-            df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > split_rows).select(*self.keys)
-        )
-        n_hot = hot.count()
+        sizes = df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > split_rows)
+        sizes = durable(sizes)
+        n_hot, rows = sizes.agg(F.count(F.lit(1)), F.sum("_n")).first()
         self._settled, self._n_hot = True, n_hot
         if n_hot == 0:
             self.cold, self.hot = df, None
             return
+        hot = sizes.select(*self.keys)
         if n_hot <= BROADCAST_ROWS:
             hot = F.broadcast(hot)
         self.cold = df.join(hot, self.keys, "left_anti")
-        ranged = df.join(hot, self.keys, "left_semi").repartitionByRange(*self.keys, *self._order())
+        # A fixed number of ranges, which adaptive execution does not merge.
+        chunks = min(max(2, 2 * rows // split_rows), MAX_CHUNKS)
+        ranged = df.join(hot, self.keys, "left_semi").repartitionByRange(chunks, *self.keys, *self._order())
         self.hot = durable(ranged.withColumn(_CHUNK, F.spark_partition_id()))
 
     # -- building blocks -------------------------------------------------------
