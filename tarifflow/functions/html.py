@@ -5,7 +5,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -86,9 +86,11 @@ def _parsed_text(pages: pd.Series) -> pd.Series:
     return pages.map(lambda page: None if page is None else visible_text(page))
 
 
-def html_text_column(html: str) -> Column:
-    """Text of the column ``html``.  Rows the native chain handles exactly stay in
-    the JVM; only the others are handed to Python (the rest travel as nulls)."""
-    plain = F.expr(text.html_is_plain_sql(html))
-    parsed = _parsed_text(F.when(~plain, F.col(html)))
-    return F.coalesce(parsed, F.when(plain, text.html_to_text(html)))
+def with_html_text(df: DataFrame, html: str, out: str) -> DataFrame:
+    """Adds the text of the HTML column.  Rows the native chain handles exactly
+    stay in the JVM; only the others are handed to Python (the rest travel as
+    nulls).  The test for that is a column of its own, so it runs once."""
+    marked = df.withColumn("_plain", F.expr(text.html_is_plain_sql(html)))
+    parsed = _parsed_text(F.when(~F.col("_plain"), F.col(html)))
+    native = F.when(F.col("_plain"), text.html_to_text(html))
+    return marked.withColumn(out, F.coalesce(parsed, native)).drop("_plain")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.html import html_text_column
+from ..functions.html import with_html_text
 from ..sources.payloads import normalize_payload, page_fields
 from .ordered import SPLIT_ROWS, OrderedScan
 from .skew import last_per
@@ -46,12 +46,17 @@ def clean_payloads(
         "truncated_formats": "transform(filter(parts, p -> p.was_truncated), p -> p.format)",
         "truncated": "size(truncated_formats) > 0",
     }
-    out = (
+    pages = (
         shaped.withColumn("domain", text.url_domain("url"))
         .withColumn("_texts", F.expr("try_variant_get(payload, '$', 'map<string, string>')"))
         .withColumn("_html", F.expr("IF(success AND array_contains(formats, 'html'), _texts['html'], NULL)"))
-        .withColumn("_page_text", html_text_column("_html") if any_html else text.html_to_text("_html"))
-        .withColumn("_page_text", F.coalesce(text.normalize_ws("_page_text"), F.lit("")))
+    )
+    if any_html:
+        pages = with_html_text(pages, "_html", "_page_text")
+    else:
+        pages = pages.withColumn("_page_text", text.html_to_text("_html"))
+    out = (
+        pages.withColumn("_page_text", F.coalesce(text.normalize_ws("_page_text"), F.lit("")))
         .withColumn("_parts", F.expr(f"CASE WHEN success THEN {parts} END"))
     )
     for name, sql in per_success.items():

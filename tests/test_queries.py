@@ -20,3 +20,10 @@ def test_query(spark, con, name):
 
 def test_oracles_belong_to_queries():
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_entry(spark):
+    import __spark_entry__ as contract
+
+    assert contract.entry(spark).count() > 0
+    assert set(contract.oracle_sql()) <= set(contract.queries())

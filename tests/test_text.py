@@ -6,7 +6,7 @@ from conftest import SF_SMALL
 from pyspark.sql import functions as F
 
 from tarifflow.functions import text as X
-from tarifflow.functions.html import html_text_column, visible_text
+from tarifflow.functions.html import visible_text, with_html_text
 from tarifflow.functions.register import register
 
 
@@ -54,7 +54,7 @@ def test_native_html_equals_parser_on_all_pages(spark):
 )
 def test_pages_beyond_the_native_chain(spark, page, expected):
     df = spark.createDataFrame([(page,)], "h STRING")
-    row = df.select(html_text_column("h").alias("t"), F.expr(X.html_is_plain_sql("h")).alias("plain")).first()
+    row = with_html_text(df, "h", "t").withColumn("plain", F.expr(X.html_is_plain_sql("h"))).first()
     assert row.t == expected
     assert page.startswith("<p>a &mdash;") or not row.plain
 
