@@ -95,8 +95,10 @@ MARKUP_PATTERN = (
 
 def html_to_text_sql(html: str) -> str:
     bare = f"regexp_replace({html}, {lit_sql(MARKUP_PATTERN)}, {lit_sql(_MARK)})"
-    decoded = f"regexp_replace({_decode_entities_sql(bare)}, '&amp;?', '&')"
-    nodes = f"transform(split({decoded}, {lit_sql(_MARK + '+')}), n -> {strip_sql('n')})"
+    # Most text nodes hold no reference at all; only the others are decoded.
+    decoded = f"regexp_replace({_decode_entities_sql('n')}, '&amp;?', '&')"
+    node = f"IF(contains(n, '&'), {decoded}, n)"
+    nodes = f"transform(split({bare}, {lit_sql(_MARK + '+')}), n -> {strip_sql(node)})"
     return f"array_join(filter({nodes}, n -> n <> ''), ' ')"
 
 
