@@ -34,7 +34,7 @@ def test_trace_lines(spark):
     lines = [
         "Query: compare", "  [01:15:46] 🧠 THINKING    Sending query...", "2026-08-18 01:15:50,390 - INFO - x",
         "  [01:15:50] 🔧 TOOL_CALL   scrape with args={'a': 'b'}", "  [01:15:50] ✅ TOOL_RESULT scrape -> 18 chars returned",
-        "  [01:15:51] ❌ TOOL_ERROR  oops", "  [01:16:08] 💬 ANSWER      Perfect! I've scraped:", "", "1. **Cloud**",
+        "  [01:15:51] ❌ TOOL_ERROR  oops", "  [01:16:08] 💬 ANSWER      All done, see below:", "", "1. **Cloud**",
         "  [01:16:09] 🗄️ DB          Extracting", "  [01:16:09] • OTHER       none",
     ]
     df = spark.createDataFrame([(i, s) for i, s in enumerate(lines)], "seq INT, value STRING")
@@ -61,16 +61,16 @@ def test_gaps_over_one_global_order(spark):
 
 def test_result_log_forms(spark):
     texts = [
-        "[{'company_name': 'CloudRift', 'plan_name': 'Serverless', 'input_tokens': 0.5, 'output_tokens': 1.5, 'currency': 'USD'}, "
-        "{'company_name': 'Groq', 'plan_name': 'Standard', 'input_tokens': 0.59, 'output_tokens': 0.79, 'currency': 'USD'}]",
-        '[{"company_name": "Fireworks", "plan_name": "Base"}]', "[]", "",
+        "[{'company_name': 'Nimbus', 'plan_name': 'Basic', 'input_tokens': 0.5, 'output_tokens': 1.5, 'currency': 'USD'}, "
+        "{'company_name': 'Quartz', 'plan_name': 'Plain', 'input_tokens': 0.59, 'output_tokens': 0.79, 'currency': 'USD'}]",
+        '[{"company_name": "Sparkler", "plan_name": "Base"}]', "[]", "",
         "[{'company_name': \"O'Neil\", 'plan_name': None, 'input_tokens': 1, 'output_tokens': None}]",
         "[{'company_name': 'It\\'s', 'plan_name': 'x'}]", '[{"company_name": "None of it"}]', "no rows",
     ]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, result_text STRING")
     got = {r.i: r.rows for r in lg.parse_result_log(df).collect()}
-    assert [(x.company_name, x.input_tokens) for x in got[0]] == [("CloudRift", 0.5), ("Groq", 0.59)]
-    assert got[1][0].company_name == "Fireworks" and got[1][0].currency is None
+    assert [(x.company_name, x.input_tokens) for x in got[0]] == [("Nimbus", 0.5), ("Quartz", 0.59)]
+    assert got[1][0].company_name == "Sparkler" and got[1][0].currency is None
     assert got[2] == [] and got[3] == [] and got[7] is None
     assert (got[4][0].company_name, got[4][0].plan_name, got[4][0].input_tokens) == ("O'Neil", None, 1.0)
     assert got[5][0].company_name == "It's" and got[6][0].company_name == "None of it"

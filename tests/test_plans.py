@@ -47,9 +47,9 @@ def test_fences_and_quarantine(spark):
 
 
 def test_quotes_survive(spark):
-    plan = {"plan_name": "Developer's Tier", "features": ["O'Reilly-grade \"support\"", "24/7"], "limitations": "Doesn't tune"}
+    plan = {"plan_name": "Builder's Plan", "features": ["O'Hara-grade \"support\"", "24/7"], "limitations": "Can't resize"}
     row = extracted(spark, [json.dumps({"company_name": "D'I", "plans": [plan]})]).select("*", ex.features_json("features").alias("ft")).first()
-    assert (row.company_name, row.plan_name, row.limitations, row.source_query) == ("D'I", "Developer's Tier", "Doesn't tune", "q's \"x\"")
+    assert (row.company_name, row.plan_name, row.limitations, row.source_query) == ("D'I", "Builder's Plan", "Can't resize", "q's \"x\"")
     assert row.ft == json.dumps(plan["features"])
     back = spark.createDataFrame([(row.ft,)], "features_text STRING").select(ex.features_array().alias("f")).first()
     assert back.f == plan["features"]
@@ -90,8 +90,8 @@ def test_append_is_keyed_and_ids_grow(spark, plans_table):
 
 def priced(spark):
     rows = [
-        (0, "DeepInfra", "V3", 0.32, 0.89, 0), (1, "DeepInfra", "V3-0324", 0.24, 0.9, 0), (2, "DeepInfra", "V3", 0.30, 0.88, 5),
-        (3, "Cloud", "V3", 0.15, 0.4, 5), (4, "Groq", "Llama", 0.59, None, 6), (5, "Groq", "Llama", 0.6, 0.79, 6),
+        (0, "Borealis", "V3", 0.32, 0.89, 0), (1, "Borealis", "V3-mini", 0.24, 0.9, 0), (2, "Borealis", "V3", 0.30, 0.88, 5),
+        (3, "Cloud", "V3", 0.15, 0.4, 5), (4, "Quartz", "Camel", 0.59, None, 6), (5, "Quartz", "Camel", 0.6, 0.79, 6),
     ]
     return spark.createDataFrame(
         [(i, c, p, a, b, "USD", T0 + timedelta(seconds=s)) for i, c, p, a, b, s in rows],
@@ -101,24 +101,24 @@ def priced(spark):
 
 def test_recent_and_display(spark):
     recent = pr.recent_plans(priced(spark), 3)
-    assert [tuple(r)[:3] for r in recent.collect()] == [("Groq", "Llama", 0.59), ("Groq", "Llama", 0.6), ("DeepInfra", "V3", 0.3)]
+    assert [tuple(r)[:3] for r in recent.collect()] == [("Quartz", "Camel", 0.59), ("Quartz", "Camel", 0.6), ("Borealis", "V3", 0.3)]
     assert recent.columns == ["company_name", "plan_name", "input_tokens", "output_tokens", "currency"]
     lines = [r.line for r in pr.format_plans(recent).collect()]
-    assert lines[0] == "  • Groq: Llama - Input Token $0.59, Output Tokens $None"
-    assert lines[2] == "  • DeepInfra: V3 - Input Token $0.3, Output Tokens $0.88"
+    assert lines[0] == "  • Quartz: Camel - Input Token $0.59, Output Tokens $None"
+    assert lines[2] == "  • Borealis: V3 - Input Token $0.3, Output Tokens $0.88"
     assert "TakeOrderedAndProject" in recent._jdf.queryExecution().executedPlan().toString()
 
 
 def test_latest_compare_cheapest(spark):
     plans = priced(spark)
     assert {r.id for r in pr.latest_plans(plans).collect()} == {1, 2, 3, 5}
-    companies = spark.createDataFrame([("Cloud",), ("DeepInfra",), ("Groq",)], "company_name STRING")
+    companies = spark.createDataFrame([("Cloud",), ("Borealis",), ("Quartz",)], "company_name STRING")
     got = {r.company_name: (r.input_tokens, r.offered) for r in pr.compare_providers(plans, companies, "V3").collect()}
-    assert got == {"Cloud": (0.15, True), "DeepInfra": (0.30, True), "Groq": (None, False)}
-    matrix = {r.plan_name: r for r in pr.price_matrix(plans, ["Cloud", "DeepInfra"]).collect()}
-    assert matrix["V3"]["Cloud_input"] == 0.15 and matrix["V3-0324"]["Cloud_input"] is None
+    assert got == {"Cloud": (0.15, True), "Borealis": (0.30, True), "Quartz": (None, False)}
+    matrix = {r.plan_name: r for r in pr.price_matrix(plans, ["Cloud", "Borealis"]).collect()}
+    assert matrix["V3"]["Cloud_input"] == 0.15 and matrix["V3-mini"]["Cloud_input"] is None
     best = pr.cheapest_plans(plans.withColumn("plan_family", F.substring_index("plan_name", "-", 1))).collect()
-    assert {(r.plan_family, r.lowest, r.cheapest_company) for r in best} == {("V3", 0.15, "Cloud"), ("Llama", 0.59, "Groq")}
+    assert {(r.plan_family, r.lowest, r.cheapest_company) for r in best} == {("V3", 0.15, "Cloud"), ("Camel", 0.59, "Quartz")}
 
 
 def test_sql_with_markers(spark):

@@ -51,12 +51,12 @@ def test_page_fields_key_presence(spark):
 
 
 def test_successful_scrape_row(spark):
-    body = {"success": True, "markdown": "Deepseek V3 costs $0.50", "html": "<p>V3 <b>$0.50</b></p>", "metadata": {"title": "Pricing", "description": "Page"}}
-    row = attempts(spark, [("testprovider", body, ["markdown", "html"])]).first()
-    assert (row.success, row.domain, row.title, row.description) == (True, "testprovider.example.com", "Pricing", "Page")
-    assert [(p.format, p.content) for p in row.parts] == [("markdown", "Deepseek V3 costs $0.50"), ("html", "V3 $0.50")]
-    assert row.content_hash == sha256(b"Deepseek V3 costs $0.50V3 $0.50").hexdigest()
-    assert row.content_lengths == {"markdown": 23, "html": 8} and row.truncated is False and row.truncated_formats == []
+    body = {"success": True, "markdown": "Model V3 costs $0.50", "html": "<p>V3 <b>$0.50</b></p>", "metadata": {"title": "Pricing", "description": "Page"}}
+    row = attempts(spark, [("first", body, ["markdown", "html"])]).first()
+    assert (row.success, row.domain, row.title, row.description) == (True, "first.example.com", "Pricing", "Page")
+    assert [(p.format, p.content) for p in row.parts] == [("markdown", "Model V3 costs $0.50"), ("html", "V3 $0.50")]
+    assert row.content_hash == sha256(b"Model V3 costs $0.50V3 $0.50").hexdigest()
+    assert row.content_lengths == {"markdown": 20, "html": 8} and row.truncated is False and row.truncated_formats == []
 
 
 def test_cap_before_hash_and_total_length_shows(spark):
@@ -106,11 +106,11 @@ def test_latest_failure_is_not_reported(spark):
 
 
 def test_price_diff_of_the_second_scrape(spark):
-    df = attempts(spark, [("p", "Deepseek V3: $0.50 per 1M input tokens"), ("p", "Deepseek V3: $0.75 per 1M input tokens"), ("other", "x $1")])
+    df = attempts(spark, [("p", "Model V3: $0.50 per 1M input tokens"), ("p", "Model V3: $0.75 per 1M input tokens"), ("other", "x $1")])
     for exact in (True, False):
         rows = ch.pricing_changes(df, exact=exact).collect()
         assert {(r.change, r.line) for r in rows} == {
-            ("removed", "Deepseek V3: $0.50 per 1M input tokens"), ("added", "Deepseek V3: $0.75 per 1M input tokens")
+            ("removed", "Model V3: $0.50 per 1M input tokens"), ("added", "Model V3: $0.75 per 1M input tokens")
         }
     one = spark.createDataFrame([("other",)], "provider STRING")
     assert ch.pricing_changes(df, one).count() == 0
