@@ -13,6 +13,7 @@ the rows, not on partitions or retries.
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -25,12 +26,16 @@ CAPACITY = 4096
 END_ID = 2
 GROUP_DOCS = 5_000
 TOKENIZER = "word_bpe_49k.json"
-# Ids of this many distinct chunks are remembered per task; beyond it the memory is cleared.
-REMEMBERED = 400_000
+# Ids of this many distinct chunks are remembered per worker; beyond it the memory is cleared.
+REMEMBERED = 1_000_000
 # Longer chunks are tokenized each time they occur.
 LONG_CHUNK = 64
-
-_loaded: dict[str, object] = {}
+# Closing punctuation that the tokenizer splits from a letter before it (it treats ' apart).
+_ENDS = string.punctuation.replace("'", "")
+# Below it are Latin letters only, which Python lower-cases as the tokenizer does and
+# whose composed form is the letter itself.
+_LATIN = "\u0250"
+_DOTTED = "\u0130"  # the one letter whose lower case is a letter and a mark
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -42,9 +47,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes.
 
-    The tokenizer splits at white space and nothing crosses a split, so a text's ids
-    are those of its chunks between spaces and line ends.  Words repeat, so chunks are
-    looked up; unknown ones are tokenized together.
+    The tokenizer lower-cases, splits at white space and between letters and punctuation,
+    and nothing crosses a split.  A text's ids are therefore those of its chunks between
+    spaces and line ends, and a chunk's those of its letters and its closing punctuation.
+    Words repeat, so both are looked up; unknown ones are tokenized together.
     """
 
     def __init__(self, path: str):
@@ -53,30 +59,71 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
-
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.known) + len(chunks) > REMEMBERED:
-            self.known.clear()
-        for chunk, got in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
-            self.known[chunk] = np.array(got.ids, "<u4").tobytes()
+        # Byte-level models write bytes that are no printable Latin-1 as characters from 256 on.
+        odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+        self.bytes = {b: 256 + i for i, b in enumerate(odd)}
+
+    def _tokenized(self, chunks: list[str]) -> dict[str, bytes]:
+        """Latin words go to the model at once; the rest takes all of the tokenizer's steps."""
+        out, rest, tokenize = {}, [], self.tokenizer.model.tokenize
+        for c in chunks:
+            if c.isalpha() and max(c) < _LATIN and _DOTTED not in c:
+                word = c if c.isascii() else c.encode().decode("latin-1").translate(self.bytes)
+                out[c] = np.array([t.id for t in tokenize(word)], "<u4").tobytes()
+            else:
+                rest.append(c)
+        got = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else []
+        return out | {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(rest, got, strict=True)}
+
+    def _parts(self, chunk: str) -> tuple[str, str]:
+        """Letters (Latin ones in lower case) and closing punctuation, or the chunk as it is."""
+        body = chunk.rstrip(_ENDS)
+        # Only a letter at the border makes it a split of the tokenizer's own.
+        if not body.isalpha() or _DOTTED in body:
+            return chunk, ""
+        return body.lower() if max(body) < _LATIN else body, chunk[len(body) :]
+
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Remember ``chunks``; those too long to remember are returned."""
+        known = self.known
+        long = [c for c in chunks if len(c) > LONG_CHUNK]  # as they are: never split or lower-cased
+        parts = {c: self._parts(c) for c in chunks if len(c) <= LONG_CHUNK}
+        if len(known) + 2 * len(parts) > REMEMBERED:
+            known.clear()
+        new = {p for two in parts.values() for p in two if p not in known}
+        if new:
+            known.update(self._tokenized(list(new)))
+        for chunk, (body, end) in parts.items():
+            known[chunk] = known[body] + known[end] if end else known[body]
+        if not long:
+            return {}
+        got = self.tokenizer.encode_batch_fast(long, add_special_tokens=False)
+        return {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(long, got, strict=True)}
 
     def encode(self, text: str) -> bytes:
         chunks = text.replace("\n", " ").split(" ")
-        if new := [c for c in set(chunks) if c not in self.known]:
-            long = {c for c in new if len(c) > LONG_CHUNK}
-            self._learn([c for c in new if c not in long])
-            # Learning may have cleared chunks known before.
-            self._learn([c for c in set(chunks) - long if c not in self.known])
+        known = self.known
+        if missing := set(chunks).difference(known):
+            long = self._learn(missing)
+            if not known.keys() >= set(chunks).difference(long):
+                long |= self._learn(set(chunks).difference(known, long))  # the memory was cleared
             if long:
-                once = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in long}
-                return b"".join([once[c] if c in once else self.known[c] for c in chunks])
-        return b"".join(map(self.known.__getitem__, chunks))
+                return b"".join([long[c] if c in long else known[c] for c in chunks])
+        return b"".join(map(known.__getitem__, chunks))
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _loaded:
-        _loaded[path] = Encoder(path)
-    return _loaded[path]  # type: ignore[return-value]
+    """The worker's encoder: its tasks share what it has learned.
+
+    Functions reach workers by value, so the package's own globals last for one task only;
+    the tokenizer library's module lasts as long as the worker.
+    """
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 class Bins:
