@@ -91,11 +91,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     set of copies or near copies.  A document with several labels counts as toxic if one says so."""
     named = labels.where("toxic is not null").groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").alias("y"))
     known = named.where("id is not null").orderBy(F.xxhash64("id"), "id").limit(2 * sample_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(known, "id")
-    rows = _sketched(rows, "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    # Both tables of ids are bounded by the sample, so no text is shuffled.
+    sketches = stage(_sketched(rows.join(F.broadcast(known), "id"), "text").drop("text"))
     for m in ("_m0", "_m1", "_m2"):
-        rows = rows.dropDuplicates([m])
-    return rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("id", "text", "y", F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(2)).alias("fold"))
+        sketches = sketches.dropDuplicates([m])
+    chosen = sketches.select("id", "y").distinct().orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    return rows.join(F.broadcast(chosen), "id").withColumn("fold", F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(2)))
 
 
 def _term_counts(train: DataFrame) -> DataFrame:
