@@ -92,8 +92,10 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with their own columns.  Texts of single rows are not shuffled."""
-    single, rest = _joined(docs, id_col, text)
+    """The rows that stay, with all their own columns.  Texts of single rows are not shuffled."""
+    aside = {c: f"_own_{c}" for c in docs.columns if c.lower() in RESULTS}
+    single, rest = _joined(docs.withColumnsRenamed(aside), id_col, text)
     rest = rest.where(F.col(id_col).eqNullSafe(F.col("keep_id")))
     rest = _one_row(rest, id_col).where("_first")
-    return single.select(docs.columns).unionByName(rest.select(docs.columns))
+    own = [F.col(aside.get(c, c)).alias(c) for c in docs.columns]
+    return single.select(own).unionByName(rest.select(own))
