@@ -170,12 +170,14 @@ def from_micros_sql(micros: str) -> str:
 
 
 def is_fresh_sql(scraped_at: str, now: str, ttl_hours: int | str = CACHE_TTL_HOURS) -> str:
-    # Naive times on both sides: their difference needs no zone.
+    # Naive times on both sides: their difference needs no zone.  A stored time with a
+    # zone, or one that is no full date, is not fresh.
+    naive = lit_sql(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.]\d{1,6})?)?)?$")
     age = (
         f"timestampdiff(MICROSECOND, try_cast({scraped_at} AS TIMESTAMP_NTZ), "
         f"CAST({now} AS TIMESTAMP_NTZ))"
     )
-    return f"coalesce({age} < {ttl_hours} * 3600000000L, false)"
+    return f"coalesce(regexp_like(CAST({scraped_at} AS STRING), {naive}) AND {age} < {ttl_hours} * 3600000000L, false)"
 
 
 def is_price_like_sql(line: str) -> str:
@@ -210,6 +212,14 @@ def strip(x: str) -> Column:
     return F.expr(strip_sql(x))
 
 
+def lstrip(x: str) -> Column:
+    return F.expr(f"trim(LEADING {lit_sql(STRIP_CHARS)} FROM {x})")
+
+
+def rstrip(x: str) -> Column:
+    return F.expr(f"trim(TRAILING {lit_sql(STRIP_CHARS)} FROM {x})")
+
+
 def url_domain(url: str) -> Column:
     return F.expr(url_domain_sql(url))
 

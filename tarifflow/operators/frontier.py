@@ -34,10 +34,11 @@ def mark_cache_hits(
 
     ``now`` is an SQL expression over the frontier, such as ``requested_at``.
     """
-    entries = metadata.select(
-        F.col("provider_name").alias("provider"),
-        F.col("success").alias("_ok"),
-        F.col("scraped_at").alias("_scraped_at"),
+    # One entry per provider, the latest: repeated entries must not double requests.
+    entries = (
+        metadata.groupBy(F.col("provider_name").alias("provider"))
+        .agg(F.max(F.struct("scraped_at", "success")).alias("_entry"))
+        .select("provider", F.col("_entry.success").alias("_ok"), F.col("_entry.scraped_at").alias("_scraped_at"))
     )
     hit = ~F.col("force") & F.coalesce("_ok", F.lit(False)) & text.is_fresh("_scraped_at", now, ttl_hours)
     decided = frontier.join(entries, "provider", "left").withColumn("cache_hit", hit)

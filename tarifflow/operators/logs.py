@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text
 from ..schemas import RESULT_ROWS
@@ -29,7 +30,8 @@ def assemble_answers(
 ) -> DataFrame:
     """All assistant texts of a conversation, each on its own line, in turn order
     and stripped: conv_id, part (0 but for huge conversations), answer.  Empty
-    answers are dropped.  No group ever holds more than one part."""
+    answers are dropped.  No group ever holds more than one part; the parts of a
+    conversation, put together by line ends, are the whole answer."""
     said = conversations.where("role = 'assistant'").select("conv_id", "turn", "text")
     parts = (
         OrderedScan(said, ["conv_id"], ["turn"], split_rows=split_rows)
@@ -38,7 +40,15 @@ def assemble_answers(
         .withColumn("part", F.expr(f"(_chars - length(text) - 1) DIV {int(part_chars)}"))
     )
     joined = parts.groupBy("conv_id", "part").agg(F.expr("listagg(text, '\\n') WITHIN GROUP (ORDER BY turn)").alias("answer"))
-    return joined.withColumn("answer", text.strip("answer")).where("answer <> ''")
+    # Blanks go at the ends of the whole answer, not at the borders of its parts.
+    conversation = Window.partitionBy("conv_id")
+    said_in = F.when(text.strip("answer") != "", F.col("part"))
+    joined = joined.withColumn("_first", F.min(said_in).over(conversation)).withColumn("_last", F.max(said_in).over(conversation))
+    joined = joined.where("part BETWEEN _first AND _last")
+    answer = F.when(F.col("part") == F.col("_first"), text.lstrip("answer")).otherwise(F.col("answer"))
+    joined = joined.withColumn("answer", answer)
+    answer = F.when(F.col("part") == F.col("_last"), text.rstrip("answer")).otherwise(F.col("answer"))
+    return joined.withColumn("answer", answer).drop("_first", "_last")
 
 
 def last_source_url(tool_results: DataFrame) -> DataFrame:

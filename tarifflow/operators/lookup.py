@@ -6,17 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .ordered import BROADCAST_ROWS, stage
 
 # --- fixed values -----------------------------------------------------------
 NOT_FOUND = "There's no saved information related to identifier '%s'."
 # --- end of fixed values ----------------------------------------------------
 
 
-def provider_keys(metadata: DataFrame) -> DataFrame:
+def provider_keys(metadata: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """Every identifier with the one provider it stands for: the first entry in
     stored order.  Unique on ``identifier``, so joins on it never multiply, and
-    shared domains are folded on the map side."""
-    return (
+    shared domains are folded on the map side.  With ``asked`` only those identifiers."""
+    keys = (
         metadata.select(
             "ord",
             "provider_name",
@@ -24,15 +25,22 @@ def provider_keys(metadata: DataFrame) -> DataFrame:
                 "identifier"
             ),
         )
-        .groupBy("identifier")
-        .agg(F.min_by("provider_name", "ord").alias("provider"))
     )
+    if asked is not None:
+        keys = keys.join(few(asked.select("identifier").distinct()), "identifier", "left_semi")
+    return keys.groupBy("identifier").agg(F.min_by("provider_name", "ord").alias("provider"))
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """``keys``, counted, and marked for broadcast if they are few."""
+    keys = stage(keys)
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
 def resolve_provider(identifiers: DataFrame, metadata: DataFrame) -> DataFrame:
     """identifier -> provider, or null with ``message``.  Three equalities joined
     by OR become one hash equi-join on exploded keys."""
-    joined = identifiers.join(provider_keys(metadata), "identifier", "left")
+    joined = identifiers.join(provider_keys(metadata, identifiers), "identifier", "left")
     return joined.withColumn(
         "message", F.when(F.col("provider").isNull(), F.format_string(NOT_FOUND, F.col("identifier")))
     )
@@ -47,9 +55,11 @@ def extract_info(
     A text that was capped when stored carries its note and is longer than the
     cap, so it is cut once more and ``original_length`` is the stored length.
     """
-    resolved = resolve_provider(identifiers, metadata)
-    entries = metadata.drop("ord").withColumnRenamed("provider_name", "provider")
-    read = content.select(
+    # Resolve first: texts and entries nobody asked for are dropped where they are read.
+    resolved = stage(resolve_provider(identifiers, metadata))
+    wanted = few(resolved.select("provider").where("provider IS NOT NULL").distinct())
+    entries = metadata.drop("ord").withColumnRenamed("provider_name", "provider").join(wanted, "provider", "left_semi")
+    read = content.join(wanted, "provider", "left_semi").select(
         "provider", "format", F.expr(text.read_text_sql("coalesce(content, '')")).alias("_text")
     ).withColumn("_read", text.truncate_guard("_text", max_chars))
     texts = read.select(

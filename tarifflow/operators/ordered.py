@@ -186,7 +186,7 @@ class OrderedScan:
         )
 
     def running_sum(self, name: str, value: Column) -> "OrderedScan":
-        return self._running(name, value, F.sum, lambda a, b: a + F.coalesce(b, F.lit(0)))
+        return self._running(name, value, F.sum, lambda a, b: F.coalesce(a + F.coalesce(b, F.lit(0)), b))
 
     def running_max(self, name: str, value: Column) -> "OrderedScan":
         return self._running(name, value, F.max, F.greatest)

@@ -57,8 +57,12 @@ def robots_policies(robots_txt: DataFrame) -> DataFrame:
 
     ``access`` is 'all', 'none' or 'rules'.  No status means the file could not
     be fetched: open.  401/403 close a site, other 4xx open it, 5xx close it.
-    Only the first group for agent ``*`` counts.
+    Only the first group for agent ``*`` counts.  Of several rows of a domain the one
+    with the largest ``fetched_at`` (without that column: status and body) is taken.
     """
+    # Several fetches of one domain: the latest, if they carry their time.
+    latest = F.struct(*[c for c in ("fetched_at", "status", "body") if c in robots_txt.columns])
+    robots_txt = robots_txt.groupBy("domain").agg(F.max(latest).alias("_last")).select("domain", "_last.*")
     status = F.col("status")
     access = (
         F.when(status.isNull(), "all")

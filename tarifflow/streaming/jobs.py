@@ -123,11 +123,39 @@ def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 # --- freshness and trace counts ------------------------------------------------------
 
 
-def stream_dedup(requests: DataFrame, ttl: str = f"{text.CACHE_TTL_HOURS} hours") -> DataFrame:
-    """First request per provider within the TTL.  Input needs a TIMESTAMP column
-    ``ts``.  Approximate by nature (it cannot see failed fetches); the exact
-    decision over a log is ``cache_replay``."""
-    return requests.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["provider"])
+def stream_dedup(requests: DataFrame, ttl_hours: int = text.CACHE_TTL_HOURS) -> DataFrame:
+    """Requests that no kept request of the same provider precedes by less than the TTL:
+    provider, event_id, ts, late.
+
+    The state is the time of the provider's last kept request; rows are taken in (ts,
+    event_id) order within a trigger, so for input that arrives in order of time the
+    result does not depend on the trigger size.  A request older than the last kept one
+    comes back with ``late`` set and changes no state.
+    """
+    life = int(ttl_hours) * 3_600_000_000
+
+    def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
+        last = state.get[0] if state.exists else None
+        kept, late = [], []
+        for i, us in enumerate(rows["us"].tolist()):
+            if last is not None and us < last:
+                late.append(i)
+            elif last is None or us - last >= life:
+                kept.append(i)
+                last = us
+        if last is not None:
+            state.update((last,))
+        for at, is_late in ((kept, False), (late, True)):
+            if at:
+                part = rows.iloc[at]
+                yield pd.DataFrame({"provider": key[0], "event_id": part["event_id"], "us": part["us"], "late": is_late})
+
+    rows = requests.select("provider", "event_id", F.unix_micros("ts").alias("us"))
+    out = rows.groupBy("provider").applyInPandasWithState(
+        keep, "provider STRING, event_id BIGINT, us BIGINT, late BOOLEAN", "last BIGINT", "append", GroupStateTimeout.NoTimeout
+    )
+    return out.select("provider", "event_id", F.timestamp_micros("us").alias("ts"), "late")
 
 
 def stream_stage_counts(trace: DataFrame, width: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:

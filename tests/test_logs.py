@@ -74,3 +74,15 @@ def test_result_log_forms(spark):
     assert got[2] == [] and got[3] == [] and got[7] is None
     assert (got[4][0].company_name, got[4][0].plan_name, got[4][0].input_tokens) == ("O'Neil", None, 1.0)
     assert got[5][0].company_name == "It's" and got[6][0].company_name == "None of it"
+
+
+def test_parts_of_an_answer_make_the_whole(spark):
+    turns = ["  ", "aa ", "   ", " bb", "", "cc", " \n"]
+    rows = [("c", i, "assistant", t) for i, t in enumerate(turns)] + [("d", 0, "assistant", "  ")]
+    df = spark.createDataFrame(rows, "conv_id STRING, turn INT, role STRING, text STRING")
+    whole = lg.assemble_answers(df).collect()
+    assert [(r.conv_id, r.answer) for r in whole] == [("c", "\n".join(turns).strip())]
+    for size in (1, 4, 9):
+        parts = lg.assemble_answers(df, part_chars=size).orderBy("part").collect()
+        assert {r.conv_id for r in parts} == {"c"}
+        assert "\n".join(r.answer for r in parts) == whole[0].answer

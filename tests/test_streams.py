@@ -41,10 +41,12 @@ def test_late_attempts_are_reported_and_change_nothing(spark, tmp_path):
 
 def test_stream_dedup(spark, tmp_path):
     rows = [("a", datetime(2024, 1, 1, h)) for h in range(0, 20, 4)] + [("b", datetime(2024, 1, 1, 5))]
-    df = spark.createDataFrame(rows, "provider STRING, ts TIMESTAMP")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = jobs.read_folder(spark, str(tmp_path / "in"), df.schema)
-    assert sorted(r.provider for r in jobs.run_available(jobs.stream_dedup(stream)).collect()) == ["a", "b"]
+    rows += [("a", datetime(2024, 1, 2, 0)), ("a", datetime(2024, 1, 2, 23)), ("b", datetime(2024, 1, 2, 4))]
+    df = spark.createDataFrame([(p, t, i) for i, (p, t) in enumerate(rows)], "provider STRING, ts TIMESTAMP, event_id LONG")
+    stream = as_stream(spark, df, str(tmp_path / "in"), ["event_id < 3", "event_id BETWEEN 3 AND 5", "event_id > 5"])
+    got = jobs.run_available(jobs.stream_dedup(stream)).collect()
+    assert sorted((r.provider, r.ts) for r in got) == [("a", rows[0][1]), ("a", datetime(2024, 1, 2)), ("b", rows[5][1])]
+    assert not any(r.late for r in got)
 
 
 def test_stage_counts_equal_batch_for_closed_windows(spark, tmp_path):
