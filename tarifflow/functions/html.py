@@ -94,3 +94,9 @@ def with_html_text(df: DataFrame, html: str, out: str) -> DataFrame:
     parsed = _parsed_text(F.when(~F.col("_plain"), F.col(html)))
     native = F.when(F.col("_plain"), text.html_to_text(html))
     return marked.withColumn(out, F.coalesce(parsed, native)).drop("_plain")
+
+
+def with_clean_content(df: DataFrame, raw: str, out: str) -> DataFrame:
+    """Adds the cleaned text of a column of arbitrary HTML; null gives an empty text."""
+    shown = with_html_text(df, raw, "_shown")
+    return shown.withColumn(out, F.coalesce(text.normalize_ws("_shown"), F.lit(""))).drop("_shown")

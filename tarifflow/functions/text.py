@@ -86,15 +86,30 @@ def _decode_entities_sql(x: str) -> str:
 
 
 # One left-to-right pass, so that whichever of subtree, comment or tag starts
-# first wins: a comment that mentions <script> stays a comment.
+# first wins: a comment that mentions <script> stays a comment.  A tag that closes
+# itself opens no subtree.
 MARKUP_PATTERN = (
-    r"(?is)<(" + "|".join(DROPPED_TAGS) + r")\b[^>]*>.*?(?:</\1\s*>|\z)"
+    r"(?is)<(" + "|".join(DROPPED_TAGS) + r")(?=[\s/>])(?:[^>]*[^>/])?>.*?(?:</\1\s*>|\z)"
     r"|<!--.*?-->|<[!/?]?[a-z][^>]*>"
 )
+# Markup the pattern reads differently from a parser.
+ODD_MARKUP = (
+    r"(?is)<[a-z][^>]*=\s*(?:\"[^\"<>]*>|'[^'<>]*>)"  # '>' inside a quoted attribute
+    r"|<!\[|<(?:rt|rp|template|plaintext|xmp|iframe|noembed|noframes)\b"
+    r"|<(?:" + "|".join(DROPPED_TAGS) + r")\b[^>]*/>"
+    r"|</(?![a-z])|<[!?](?!--|[a-z])|<!--(?:-?>)|--!>"
+    r"|<(title|textarea)\b[^>]*>[^<]*<(?!/\1\s*>)"
+)
+
+
+def _bare_sql(html: str) -> str:
+    return f"regexp_replace({html}, {lit_sql(MARKUP_PATTERN)}, {lit_sql(_MARK)})"
 
 
 def html_to_text_sql(html: str) -> str:
-    bare = f"regexp_replace({html}, {lit_sql(MARKUP_PATTERN)}, {lit_sql(_MARK)})"
+    """The native chain: exact where :func:`html_is_plain_sql` holds.  For arbitrary
+    pages use ``html.with_html_text``, which gives the others to a parser."""
+    bare = _bare_sql(html)
     # Most text nodes hold no reference at all; only the others are decoded.
     decoded = f"regexp_replace({_decode_entities_sql('n')}, '&amp;?', '&')"
     node = f"IF(contains(n, '&'), {decoded}, n)"
@@ -104,21 +119,22 @@ def html_to_text_sql(html: str) -> str:
 
 def html_is_plain_sql(html: str) -> str:
     """True where the native chain is known to equal a full HTML parser: no other
-    character reference, no '>' inside a quoted attribute, no CDATA section or
-    ruby/template text, and svg/noscript neither nested nor left open."""
-    rest = f"regexp_replace({_decode_entities_sql(html)}, '&amp;?', '')"
-    odd = r"(?is)<[a-z][^>]*=\s*(?:\"[^\"<>]*>|'[^'<>]*>)|<!\[|<(?:rt|rp|template)\b"
+    character reference, nothing of :data:`ODD_MARKUP`, no markup left over after the
+    pattern, and svg/noscript neither nested nor left open."""
+    known = "|".join([*(ref[1:] for ref in ENTITIES), "amp;?", *(f"{ref[1:]}(?![a-zA-Z0-9;])" for ref in OPEN_ENTITIES)])
     checks = [
-        f"NOT regexp_like({rest}, {lit_sql('&[#a-zA-Z]')})",
-        f"NOT regexp_like({html}, {lit_sql(odd)})",
+        f"NOT regexp_like({html}, {lit_sql(rf'&(?!(?:{known}))[#a-zA-Z]')})",
+        f"NOT regexp_like({html}, {lit_sql(ODD_MARKUP)})",
         f"NOT contains({html}, {lit_sql(_MARK)})",
+        f"NOT regexp_like({_bare_sql(html)}, {lit_sql('<[a-zA-Z/!?]')})",
     ]
     for tag in ("svg", "noscript"):
         # Cut at every end tag: each piece may open the tag once, the last never.
         pieces = f"split({html}, {lit_sql(rf'(?i)</{tag}\s*>')})"
         opened = f"regexp_count(p, {lit_sql(rf'(?i)<{tag}\b')})"
-        fits = f"transform({pieces}, (p, i) -> {opened} <= IF(i = size({pieces}) - 1, 0, 1))"
-        checks.append(f"(NOT contains(lower({html}), '<{tag}') OR forall({fits}, ok -> ok))")
+        # The outer transform binds the pieces, so the page is cut once.
+        fits = f"transform(ps, (p, i) -> {opened} <= IF(i = size(ps) - 1, 0, 1))"
+        checks.append(f"(NOT contains(lower({html}), '<{tag}') OR transform(array({pieces}), ps -> forall({fits}, ok -> ok))[0])")
     return "(" + " AND ".join(checks) + ")"
 
 

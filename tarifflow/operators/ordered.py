@@ -31,7 +31,6 @@ SPLIT_ROWS = 1_000_000
 # Carry and hot-key tables (narrow rows) up to this size are broadcast; beyond it
 # the join is left to the optimizer.
 BROADCAST_ROWS = 200_000
-MAX_CHUNKS = 20_000
 _CHUNK = "_chunk"
 _GLOBAL = "_all"
 
@@ -110,17 +109,23 @@ class OrderedScan:
         if n_hot == 0:
             self.cold, self.hot = df, None
             return
-        hot = sizes.select(*self.keys)
+        hot = sizes.select(*[F.col(k).alias(f"_hot_{k}") for k in self.keys])
+        # A null key may be the hot one.
+        same = self._same("_hot_")
         if n_hot <= BROADCAST_ROWS:
             hot = F.broadcast(hot)
-        self.cold = df.join(hot, self.keys, "left_anti")
+        self.cold = df.join(hot, same, "left_anti")
         # A fixed number of ranges, which adaptive execution does not merge.
-        chunks = min(max(2, 2 * rows // split_rows), MAX_CHUNKS)
-        ranged = df.join(hot, self.keys, "left_semi").repartitionByRange(chunks, *self.keys, *self._order())
+        chunks = max(2, 2 * rows // split_rows)
+        ranged = df.join(hot, same, "left_semi").repartitionByRange(chunks, *self.keys, *self._order())
         self.hot = durable(ranged.withColumn(_CHUNK, F.spark_partition_id()))
 
     # -- building blocks -------------------------------------------------------
 
+    def _same(self, prefix: str, extra: Sequence[str] = ()) -> Column:
+        """Null-safe equality of the keys with their renamed copies."""
+        return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in (*self.keys, *extra)])
+
     def _order(self) -> list[Column]:
         return [F.col(c).desc() if self.descending else F.col(c).asc() for c in self.order_names]
 
@@ -152,16 +157,16 @@ class OrderedScan:
             chunks.groupBy(*chunk_keys)
             .agg(summary.alias("_summary"))
             .withColumn("_carry", combine(before))
-            .drop("_summary")
+            .select(*[F.col(k).alias(f"_c_{k}") for k in chunk_keys], "_carry")
         )
         # Ranges are contiguous, so there are at most (hot keys + ranges) summaries.
         if self._n_hot + _partitions(chunks) <= BROADCAST_ROWS:
             carry = F.broadcast(carry)
         inside = Window.partitionBy(*chunk_keys).orderBy(*self._order())
         hot = (
-            chunks.join(carry, chunk_keys)
+            chunks.join(carry, self._same("_c_", [_CHUNK]))
             .withColumn(name, merge(local(inside), F.col("_carry")))
-            .drop("_carry")
+            .drop("_carry", *[f"_c_{k}" for k in chunk_keys])
         )
         return self._with(cold, hot, False)
 

@@ -36,9 +36,11 @@ LINE_ITEM_ID = (
 
 
 def page_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One payload per web page: markdown is a heading line, html the raw page."""
+    """One payload per web page: markdown is a heading line, html the raw page.
+    Every fiftieth markdown goes beyond the default cap."""
     body = (
-        "to_json(named_struct('markdown', concat('# ', url, '\\n\\n\\n\\npage\\t', page_id, ' '), 'html', html, "
+        "to_json(named_struct('markdown', concat('# ', url, '\\n\\n\\n\\npage\\t', page_id, ' ', "
+        "repeat(concat('line ', page_id, ' '), IF(page_id % 50 = 7, 6000, 0))), 'html', html, "
         "'metadata', named_struct('title', concat('Page ', page_id))))"
     )
     return table(spark, sf_dir, "pages").select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.html import with_clean_content
 from ..operators import changes as ch
 from ..operators import lookup as lk
 from ..operators import snapshots as sn
@@ -24,7 +25,10 @@ from .derived import (
 )
 from .registry import query
 
-READ_CAP = 400
+# The default cap, written out for the comparison SQL.
+CAP = 50_000
+# Pages stored for lookup: every fiftieth is this many times itself, beyond the cap.
+LONG_PAGE = 40
 
 
 def _attempts(spark, sf_dir):
@@ -68,7 +72,7 @@ def fields(spark, sf_dir):
 
 _PAGE_TEXTS = f"""texts AS (
       SELECT page_id AS attempt_id, {O.domain('url')} AS provider, 0::BIGINT AS pos, 'markdown' AS format,
-        {O.normalize("'# ' || url || repeat(chr(10), 4) || 'page' || chr(9) || page_id || ' '")} AS cleaned FROM pages
+        {O.normalize("'# ' || url || repeat(chr(10), 4) || 'page' || chr(9) || page_id || ' ' || repeat('line ' || page_id || ' ', CASE WHEN page_id % 50 = 7 THEN 6000 ELSE 0 END)")} AS cleaned FROM pages
       UNION ALL
       SELECT page_id, {O.domain('url')}, 1, 'html', {O.clean_html('html')} FROM pages)"""
 
@@ -76,11 +80,11 @@ _PAGE_TEXTS = f"""texts AS (
 @query(
     "build_snapshots",
     f"""WITH {_PAGE_TEXTS}
-    SELECT attempt_id, provider, pos, format, {O.capped('cleaned', 1000)} AS content,
-      length(cleaned) > 1000 AS was_truncated, length(cleaned)::BIGINT AS original_length FROM texts""",
+    SELECT attempt_id, provider, pos, format, {O.capped('cleaned', CAP)} AS content,
+      length(cleaned) > {CAP} AS was_truncated, length(cleaned)::BIGINT AS original_length FROM texts""",
 )
 def build_snapshots(spark, sf_dir):
-    stored = sn.build_snapshots(sn.clean_payloads(page_payloads(spark, sf_dir), max_chars=1000))
+    stored = sn.build_snapshots(sn.clean_payloads(page_payloads(spark, sf_dir)))
     return stored.select(
         "attempt_id", "provider", F.col("pos").cast("bigint").alias("pos"), "format", "content", "was_truncated",
         F.col("original_length").cast("bigint").alias("original_length"),
@@ -90,23 +94,23 @@ def build_snapshots(spark, sf_dir):
 @query(
     "combined_hash",
     f"""WITH {_PAGE_TEXTS}
-    SELECT attempt_id, sha256(string_agg({O.capped('cleaned', 1000)}, '' ORDER BY pos)) AS content_hash
+    SELECT attempt_id, sha256(string_agg({O.capped('cleaned', CAP)}, '' ORDER BY pos)) AS content_hash
     FROM texts GROUP BY 1""",
 )
 def combined_hash(spark, sf_dir):
-    return sn.clean_payloads(page_payloads(spark, sf_dir), max_chars=1000).select("attempt_id", "content_hash")
+    return sn.clean_payloads(page_payloads(spark, sf_dir)).select("attempt_id", "content_hash")
 
 
 @query(
     "scrape_lengths",
     f"""WITH {_PAGE_TEXTS},
-    capped AS (SELECT *, length({O.capped('cleaned', 1000)})::BIGINT AS n, length(cleaned) > 1000 AS cut FROM texts)
+    capped AS (SELECT *, length({O.capped('cleaned', CAP)})::BIGINT AS n, length(cleaned) > {CAP} AS cut FROM texts)
     SELECT attempt_id, max(n) FILTER (format = 'markdown') AS markdown_length, max(n) FILTER (format = 'html') AS html_length,
       bool_or(cut) AS truncated, coalesce(string_agg(format, ',' ORDER BY pos) FILTER (cut), '') AS truncated_formats
     FROM capped GROUP BY 1""",
 )
 def scrape_lengths(spark, sf_dir):
-    return sn.clean_payloads(page_payloads(spark, sf_dir), max_chars=1000).select(
+    return sn.clean_payloads(page_payloads(spark, sf_dir)).select(
         "attempt_id",
         F.expr("CAST(content_lengths['markdown'] AS BIGINT)").alias("markdown_length"),
         F.expr("CAST(content_lengths['html'] AS BIGINT)").alias("html_length"),
@@ -334,27 +338,29 @@ def resolve_provider(spark, sf_dir):
     return lk.resolve_provider(identifiers(spark, sf_dir), page_metadata(spark, sf_dir))
 
 
-_RECAP = O.capped("content", READ_CAP)
+_RECAP = O.capped("content", CAP)
 
 
 @query(
     "extract_info",
     f"""WITH {_META},
-    texts AS (SELECT 'page-' || page_id AS provider, {O.capped('t', 500)} AS content
-      FROM (SELECT page_id, {O.clean_html('html')} AS t FROM pages))
+    texts AS (SELECT 'page-' || page_id AS provider, {O.capped('t', CAP)} AS content
+      FROM (SELECT page_id, {O.clean_html('html')} AS t
+        FROM (SELECT page_id, repeat(html, CASE WHEN page_id % 50 = 7 THEN {LONG_PAGE} ELSE 1 END) AS html FROM pages)))
     SELECT identifier, provider, message, url, CASE WHEN provider IS NOT NULL THEN 'html' END AS format,
-      {_RECAP} AS content, CASE WHEN length(content) > {READ_CAP} THEN length(content)::BIGINT END AS original_length,
-      CASE WHEN length(content) > {READ_CAP} THEN length({_RECAP})::BIGINT END AS returned_length
+      {_RECAP} AS content, CASE WHEN length(content) > {CAP} THEN length(content)::BIGINT END AS original_length,
+      CASE WHEN length(content) > {CAP} THEN length({_RECAP})::BIGINT END AS returned_length
     FROM resolved LEFT JOIN meta USING (provider) LEFT JOIN texts USING (provider)""",
 )
 def extract_info(spark, sf_dir):
-    content = table(spark, sf_dir, "pages").select(
+    pages = table(spark, sf_dir, "pages").select(
         F.expr("concat('page-', page_id)").alias("provider"),
         F.lit("html").alias("format"),
-        text.clean_content("html", "'html'").alias("_cleaned"),
+        F.expr(f"repeat(html, IF(page_id % 50 = 7, {LONG_PAGE}, 1))").alias("html"),
     )
-    stored = content.select("provider", "format", text.truncate_guard("_cleaned", 500)["content"].alias("content"))
-    info = lk.extract_info(identifiers(spark, sf_dir), page_metadata(spark, sf_dir), stored, READ_CAP)
+    content = with_clean_content(pages, "html", "_cleaned")
+    stored = content.select("provider", "format", text.truncate_guard("_cleaned")["content"].alias("content"))
+    info = lk.extract_info(identifiers(spark, sf_dir), page_metadata(spark, sf_dir), stored)
     return info.select(
         "identifier", "provider", "message", "url", "format", "content",
         F.col("original_length").cast("bigint").alias("original_length"),

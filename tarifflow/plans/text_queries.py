@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.html import with_clean_content, with_html_text
 from . import oracle_parts as O
 from .derived import price_payloads, table
 from .registry import query
@@ -31,7 +32,7 @@ def load_pages(spark, sf_dir):
 
 @query("html_to_text", f"SELECT page_id, {O.html_text('html')} AS text FROM pages")
 def html_to_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.html_to_text("html").alias("text"))
+    return with_html_text(table(spark, sf_dir, "pages"), "html", "text").select("page_id", "text")
 
 
 @query("normalize_ws", f"SELECT doc_id, {O.normalize('text')} AS text FROM documents")
@@ -45,9 +46,8 @@ def normalize_ws(spark, sf_dir):
     f"UNION ALL SELECT 'document', doc_id, {O.normalize('text')} FROM documents",
 )
 def clean_content(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select(
-        F.lit("page").alias("kind"), F.col("page_id").alias("id"), text.clean_content("html", "'html'").alias("content")
-    )
+    pages = with_clean_content(table(spark, sf_dir, "pages"), "html", "content")
+    pages = pages.select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), "content")
     docs = table(spark, sf_dir, "documents").select(
         F.lit("document").alias("kind"), F.col("doc_id").alias("id"), text.clean_content("text", "'markdown'").alias("content")
     )

@@ -42,6 +42,14 @@ def test_hot_keys_are_split_into_chunks(spark):
     assert scan.frame().count() == 5000
 
 
+def test_a_hot_null_key_is_split_and_null_values_carry_over(spark):
+    df = spark.range(5000).selectExpr("IF(id % 2 = 0, NULL, concat('k', id)) AS k", "id AS t", "IF(id % 4 = 0, NULL, 1L) AS v")
+    scans = [OrderedScan(df, ["k"], ["t"], split_rows=n) for n in (500, 10**6)]
+    assert scans[0].hot.count() == 2500 and scans[0].hot.select("_chunk").distinct().count() > 1
+    split, whole = ({tuple(r) for r in s.lag("p", "t").running_sum("s", F.col("v")).frame().collect()} for s in scans)
+    assert split == whole and len(whole) == 5000
+
+
 def test_picks(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 5, None)], "k STRING, t INT, v STRING")
     assert {tuple(r) for r in first_per(df, ["k"], ["t"]).collect()} == {("a", 1, "x"), ("b", 5, None)}

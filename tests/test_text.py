@@ -1,3 +1,4 @@
+import random
 import re
 from hashlib import sha256
 
@@ -111,3 +112,26 @@ def test_registered_functions_stay_plain_expressions(spark):
     df = spark.sql("SELECT is_price_like(x) AS p, url_domain('https://a.b/c') AS d FROM VALUES ('$5'), ('no') AS t(x)")
     assert [(r.p, r.d) for r in df.collect()] == [(True, "a.b"), (False, "a.b")]
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_plain_page_differs_from_the_parser(spark):
+    rng = random.Random(3)
+    pieces = (
+        "text ", "$5 ", "<p>", "</p>", "</ p>", "<br/>", "<svg/>", "<svg>", "</svg>", "<svg a='b'/>", "<script/>", "<script>", "</script>",
+        "<style>", "</style >", "<!-- c -->", "<!--", "-->", "<!x>", "<?x>", "</>", "&lt;", "&ltx", "&amp;lt;", "&copy", "&copysr;", "&quot",
+        "&ampx", "&nope;", "<title>", "</title>", "<a href='x>y'>", "<svg-x>", "<noscript>", "</noscript>", "<", ">", "<b", "<![CDATA[x]]>", "\n",
+    )
+    pages = ["<svg/>text $5", "<script/>s", "</ p>x", "&ltx"] + ["".join(rng.choices(pieces, k=rng.randint(1, 7))) for _ in range(6000)]
+    df = spark.createDataFrame([(p,) for p in pages], "h STRING").repartition(8)
+    rows = df.select("h", F.expr(X.html_is_plain_sql("h")).alias("plain"), X.html_to_text("h").alias("t")).collect()
+    wrong = [(r.h, r.t, visible_text(r.h)) for r in rows if r.plain and r.t != visible_text(r.h)]
+    assert not wrong, wrong[:5]
+    assert sum(r.plain for r in rows) > 1000
+    both = with_html_text(df.limit(400), "h", "t").collect()
+    assert all(r.t == visible_text(r.h) for r in both)
+
+
+def test_icon_rich_page_takes_linear_time(spark):
+    page = "<p>a</p>" + "<svg><path d='M0 0'></path></svg> icon " * 20_000
+    row = spark.createDataFrame([(page,)], "h STRING").select(F.expr(X.html_is_plain_sql("h")).alias("plain")).first()
+    assert row.plain
