@@ -158,14 +158,15 @@ def robots_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One extraction answer per line item: fenced for flag R, cut short at
-    quantity 50, without plans at quantity 1, without a company at tax 0."""
+    quantity 50, without plans at quantity 1, without a company at tax 0.  Features
+    are one text at quantity 13 and mixed at 14; at 15 the company is given twice."""
     row = table(spark, sf_dir, "lineitem").selectExpr(
         "*",
         "CAST(round(l_extendedprice * 100) AS BIGINT) AS _price",
         "CAST(round(l_tax * 100) AS BIGINT) AS _tax",
         "CAST(l_quantity AS BIGINT) AS _q",
     )
-    company = "CASE WHEN _tax = 0 THEN '' ELSE concat('\"company_name\": \"Supplier-', l_suppkey, '\", ') END"
+    company = "CASE WHEN _tax = 0 THEN '' ELSE concat(IF(_q = 15, '\"company_name\": \"Old\", ', ''), '\"company_name\": \"Supplier-', l_suppkey, '\", ') END"
     output = (
         "CASE WHEN _tax = 1 THEN '\"output_tokens\": null, ' WHEN _tax = 2 THEN '' "
         f"WHEN _tax = 3 THEN '\"output_tokens\": \"on request\", ' ELSE concat('\"output_tokens\": ', {money('_price + 50')}, ', ') END"
@@ -173,7 +174,8 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = (
         f"concat('{{\"plan_name\": \"Part-', l_partkey, '\", \"input_tokens\": ', {money('_price')}, ', ', {output}, "
         "CASE l_returnflag WHEN 'N' THEN '' ELSE '\"currency\": \"EUR\", ' END, "
-        "'\"features\": [\"q', _q, '\", \"24/7\"], \"limitations\": ', "
+        "CASE _q WHEN 13 THEN '\"features\": \"fast\"' WHEN 14 THEN '\"features\": [\"q14\", null, true]' "
+        "ELSE concat('\"features\": [\"q', _q, '\", \"24/7\"]') END, ', \"limitations\": ', "
         "CASE l_linestatus WHEN 'F' THEN 'null' ELSE concat('\"O\\'Neil ', _q, '\"') END, '}')"
     )
     second = f"concat(', {{\"plan_name\": null, \"input_tokens\": \"', {money('_price')}, '\", \"features\": null}}')"

@@ -157,7 +157,8 @@ plans AS (
     price AS input_cents, CASE WHEN tax IN (1, 2) THEN 0 WHEN tax = 3 THEN NULL ELSE price + 50 END AS output_cents,
     CASE WHEN tax = 3 THEN 'on request' END AS output_raw,
     CASE WHEN l_returnflag = 'N' THEN 'USD' ELSE 'EUR' END AS currency, 'unknown' AS billing_period,
-    '["q' || quantity || '", "24/7"]' AS features_text,
+    CASE quantity WHEN 13 THEN '"fast"' WHEN 14 THEN '["q14", null, true]'
+      ELSE '["q' || quantity || '", "24/7"]' END AS features_text,
     CASE WHEN l_linestatus = 'F' THEN 'None' ELSE 'O''Neil ' || quantity END AS limitations
   FROM answer_base WHERE quantity BETWEEN 2 AND 49
   UNION ALL

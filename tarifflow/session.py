@@ -26,6 +26,12 @@ SETTINGS = {
 }
 
 
+def last_key_wins(spark: SparkSession) -> None:
+    """A JSON object that repeats a key keeps the last value, as most readers do; Spark
+    would take the whole text for malformed."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def build(app: str = "tarifflow", **extra: str) -> SparkSession:
     """A session with these settings; master, memory and ``spark.checkpoint.dir``
     (a folder all executors share) come from the submit command."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import last_key_wins
+
 # --- fixed values -----------------------------------------------------------
 UNKNOWN_ERROR = "Unknown error"
 # Values that count as false when a payload carries an explicit success flag.
@@ -22,8 +24,10 @@ def normalize_payload(df: DataFrame, body: str = "body", raised: str = "raised")
     """Adds ``payload`` (VARIANT), ``success`` and ``error``.
 
     A raised exception fails the attempt.  Otherwise an explicit ``success`` key
-    decides by its truth value, and a payload without that key succeeded.
+    decides by its truth value, and a payload without that key succeeded.  Of a
+    repeated key the last value counts.
     """
+    last_key_wins(df.sparkSession)
     falsy = ", ".join(f"'{v}'" for v in FALSY_JSON)
     flag = "variant_get(payload, '$.success')"
     success = (

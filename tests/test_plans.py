@@ -126,3 +126,14 @@ def test_sql_with_markers(spark):
     tricky = "x' OR '1'='1"
     assert workspace.sql(spark, "SELECT * FROM plans WHERE company_name = :c", c=tricky).count() == 0
     assert workspace.sql(spark, "SELECT count(*) AS n FROM plans WHERE is_price_like(concat('$', input_tokens))").first().n == 6
+
+
+def test_features_of_any_kind_and_repeated_keys(spark):
+    values = ["fast", [1, None, True], ["a", None], [None], [], None, {"k": 1}, 7, "d\u00e9j\u00e0 \u2713", [{"k": [1]}]]
+    docs = [json.dumps({"company_name": "C", "plans": [{"plan_name": str(i), "features": v}]}) for i, v in enumerate(values)]
+    docs.append('{"company_name": "Old", "company_name": "New", "plans": [{"plan_name": "last", "features": ["x"]}]}')
+    rows = extracted(spark, docs).select("*", ex.features_json("features", "features_raw").alias("ft")).collect()
+    got = {r.plan_name: r.ft for r in rows}
+    same = lambda x: x.replace(": ", ":")  # noqa: E731  objects are written without blanks
+    assert {k: same(v) for k, v in got.items() if k != "last"} == {str(i): same(json.dumps(v)) for i, v in enumerate(values)}
+    assert [r.company_name for r in rows if r.plan_name == "last"] == ["New"]
