@@ -95,7 +95,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     # Both tables of ids are bounded by the sample, so no text is shuffled.
     sketches = stage(_sketched(rows.join(F.broadcast(known), "id"), "text").drop("text"))
     for m in ("_m0", "_m1", "_m2"):
-        sketches = sketches.dropDuplicates([m])
+        # The same row of each set on every run, whatever order rows arrive in.
+        others = [c for c in sketches.columns if c != m]
+        first = F.min(F.struct(F.xxhash64("id").alias("_order"), *others)).alias("_row")
+        sketches = sketches.groupBy(m).agg(first).select(m, *[F.col(f"_row.{c}").alias(c) for c in others])
     chosen = sketches.select("id", "y").distinct().orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     return rows.join(F.broadcast(chosen), "id").withColumn("fold", F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(2)))
 
