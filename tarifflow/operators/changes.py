@@ -18,13 +18,15 @@ _PAIR = ["attempt_id", "provider", "format", "scraped_at"]
 
 def line_diff(pairs: DataFrame) -> DataFrame:
     """Ordered added/removed lines of each pair, as a unified diff lists them
-    (longest-block matching; lines keep their newline).
+    (longest-block matching; lines keep their newline).  ``at`` is the line's place in
+    the text it belongs to, from 0: the prior one if removed, the current one if added.
 
     The matching has no SQL form, so it runs in Arrow batches, one pair per row:
     pairs are independent, and a text is bounded by the stored-text cap.
     """
     key_fields = ", ".join(f"{pairs.schema[c].name} {pairs.schema[c].dataType.simpleString()}" for c in _PAIR)
-    return pairs.select(*_PAIR, "prior_content", "content").mapInPandas(_diff_batches, f"{key_fields}, seq BIGINT, change STRING, line STRING")
+    out = f"{key_fields}, seq BIGINT, change STRING, line STRING, at BIGINT"
+    return pairs.select(*_PAIR, "prior_content", "content").mapInPandas(_diff_batches, out)
 
 
 def _lines(value: str) -> list[str]:
@@ -33,16 +35,16 @@ def _lines(value: str) -> list[str]:
     return [p + "\n" for p in pieces[:-1]] + pieces[-1:] * bool(pieces[-1])
 
 
-def changed_lines(old_text: str, new_text: str) -> Iterator[tuple[int, str, str]]:
-    """(seq, change, line) of one pair, in diff order."""
+def changed_lines(old_text: str, new_text: str) -> Iterator[tuple[int, str, str, int]]:
+    """(seq, change, line, at) of one pair, in diff order."""
     old, new = _lines(old_text), _lines(new_text)
     seq = 0
     for tag, i1, i2, j1, j2 in SequenceMatcher(None, old, new).get_opcodes():
         if tag == "equal":
             continue
-        for change, block in (("removed", old[i1:i2]), ("added", new[j1:j2])):
-            for line in block:
-                yield seq, change, line
+        for change, start, block in (("removed", i1, old[i1:i2]), ("added", j1, new[j1:j2])):
+            for at, line in enumerate(block, start):
+                yield seq, change, line, at
                 seq += 1
 
 
@@ -53,7 +55,30 @@ def _diff_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for row in batch.itertuples(index=False)
             for line in changed_lines(row.prior_content, row.content)
         ]
-        yield pd.DataFrame(out, columns=[*_PAIR, "seq", "change", "line"])
+        yield pd.DataFrame(out, columns=[*_PAIR, "seq", "change", "line", "at"])
+
+
+def apply_diff(pairs: DataFrame, diff: DataFrame) -> DataFrame:
+    """The current text of each pair as ``rebuilt``, from its prior text and its diff.
+
+    ``pairs`` needs attempt_id, format and prior_content.  A diff is bounded like the
+    texts it was made from, so it is one array per pair.
+    """
+    steps = diff.groupBy("attempt_id", "format").agg(F.collect_list(F.struct("change", "at", "line")).alias("_steps"))
+    lines = F.expr(text.lines_keep_ends_sql("prior_content"))
+    joined = pairs.select("attempt_id", "format", lines.alias("_old")).join(steps, ["attempt_id", "format"], "left")
+    parts = joined.withColumns({
+        "_gone": F.expr("transform(filter(_steps, s -> s.change = 'removed'), s -> s.at)"),
+        "_new": F.expr("array_sort(transform(filter(_steps, s -> s.change = 'added'), s -> struct(s.at, s.line)))"),
+    })
+    kept = parts.withColumn("_kept", F.expr("IF(_steps IS NULL, _old, filter(_old, (l, i) -> NOT array_contains(_gone, i)))"))
+    # The n-th added line stands where ``at - n`` kept lines come before it.
+    before = kept.withColumn("_before", F.expr("transform(coalesce(_new, array()), (s, n) -> CAST(s.at - n AS INT))"))
+    pieces = """concat(
+        transform(coalesce(_new, array()), (s, n) -> concat(
+          array_join(slice(_kept, IF(n = 0, 0, _before[n - 1]) + 1, _before[n] - IF(n = 0, 0, _before[n - 1])), ''), s.line)),
+        array(array_join(slice(_kept, IF(size(_before) = 0, 0, element_at(_before, -1)) + 1, size(_kept)), '')))"""
+    return before.select("attempt_id", "format", F.array_join(F.expr(pieces), "").alias("rebuilt"))
 
 
 def is_no_header_sql(change: str, line: str) -> str:
@@ -68,8 +93,9 @@ def is_listed_sql(change: str, line: str) -> str:
 def line_diff_net(pairs: DataFrame, price_lines_only: bool = False) -> DataFrame:
     """Order-free net change per line: +n added or -n removed copies.
 
-    Fully native.  With ``price_lines_only`` the filter runs inside the row, and
-    pairs whose price lines are equal are dropped before anything is shuffled.
+    Fully native and without a shuffle: a pair is one row, and its lines are counted
+    there.  Only lines that one side lacks or that a side repeats can have a net change,
+    so all others are left out before lines are compared.
     """
 
     def lines(column: str):
@@ -78,18 +104,23 @@ def line_diff_net(pairs: DataFrame, price_lines_only: bool = False) -> DataFrame
         # taken for a header depends on the sign of its net change.
         return F.expr(f"filter({every}, l -> {text.is_price_like_sql('l')})" if price_lines_only else every)
 
+    def repeated(column: str) -> str:
+        return f"transform(array(array_sort({column})), x -> filter(x, (l, i) -> i > 0 AND l = x[i - 1]))[0]"
+
     # Equal sides yield nothing.  Tested here and not in a filter, which would be
     # pushed into the join below and split and match every line a second time.
-    signed = F.expr(
-        "IF(_old = _new, array(), concat(transform(_old, l -> named_struct('line', l, 'sign', -1L)), "
-        "transform(_new, l -> named_struct('line', l, 'sign', 1L))))"
+    doubtful = (
+        "array_distinct(concat(array_except(_old, _new), array_except(_new, _old), "
+        f"{repeated('_old')}, {repeated('_new')}))"
+    )
+    net = (
+        "filter(transform(_lines, l -> named_struct('line', l, 'net', CAST(size(filter(_new, x -> x = l)) "
+        "- size(filter(_old, x -> x = l)) AS BIGINT))), s -> s.net <> 0)"
     )
     return (
         pairs.select(*_PAIR, lines("prior_content").alias("_old"), lines("content").alias("_new"))
-        .select(*_PAIR, F.inline(signed))
-        .groupBy(*_PAIR, "line")
-        .agg(F.sum("sign").alias("net"))
-        .where("net <> 0")
+        .withColumn("_lines", F.expr(f"IF(_old = _new, array(), {doubtful})"))
+        .select(*_PAIR, F.inline(F.expr(net)))
         .withColumn("change", F.expr("IF(net > 0, 'added', 'removed')"))
     )
 

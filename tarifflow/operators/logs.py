@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+import json
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from ..functions import text
-from ..schemas import RESULT_ROWS
+from ..schemas import RESULT_ROWS, ROW_CELLS
 from .ordered import SPLIT_ROWS, OrderedScan
 
 # --- fixed values -----------------------------------------------------------
@@ -105,41 +106,34 @@ def tool_error_share(trace: DataFrame) -> DataFrame:
 # --- logged SQL results -------------------------------------------------------
 
 
-def parse_result_log(log: DataFrame, column: str = "result_text") -> DataFrame:
-    """Adds ``rows``: logged result text as an array of structs.
+def parse_result_log(log: DataFrame, column: str = "result_text", schema: str = RESULT_ROWS) -> DataFrame:
+    """Adds ``rows``, the logged result as an array of structs of ``schema``, and
+    ``cells``, the same rows with every column of the result as text.
 
     JSON, and the single-quoted form as far as a JSON reader accepts it, is read
     natively.  Only texts with literals JSON lacks (None, True, escapes of the
-    other quote) reach the Python literal reader.
+    other quote) are handed to the Python literal reader, which gives JSON back.
     """
-    first = log.withColumn("rows", F.from_json(column, RESULT_ROWS)).withColumn(
-        "rows", F.when(F.trim(column) == "", F.expr(f"CAST(array() AS {RESULT_ROWS})")).otherwise(F.col("rows"))
-    )
-    unsafe = F.col("rows").isNull() | F.col(column).rlike(r"\b(?:None|True|False)\b|\\")
-    literal = first.where(unsafe & ~F.coalesce(F.expr(f"try_parse_json({column})").isNotNull(), F.lit(False)))
-    keep = first.where(~(unsafe & ~F.coalesce(F.expr(f"try_parse_json({column})").isNotNull(), F.lit(False))))
-    kept = [f for f in first.schema.fields if f.name != "rows"]
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + f", rows {RESULT_ROWS}"
-    reread = literal.drop("rows").mapInPandas(_literal_reader(column), ddl)
-    return keep.unionByName(reread)
-
+    as_json = F.expr(f"try_parse_json({column})").isNotNull()
+    foreign = F.from_json(column, ROW_CELLS).isNull() | F.col(column).rlike(r"\b(?:None|True|False)\b|\\")
+    unsafe = F.coalesce(foreign & ~as_json, F.lit(False))
+    blank = F.trim(column) == ""
+    read = log.withColumn("_literal", _literal_json(F.when(unsafe & ~blank, F.col(column))))
+    read = read.withColumn("_json", F.when(blank, "[]").when(unsafe, F.col("_literal")).otherwise(F.col(column)))
+    return read.withColumns({"rows": F.from_json("_json", schema), "cells": F.from_json("_json", ROW_CELLS)}).drop("_literal", "_json")
 
-def _literal_reader(column: str):
-    names = ("company_name", "plan_name", "input_tokens", "output_tokens", "currency")
-    numbers = ("input_tokens", "output_tokens")
 
-    def as_row(item: dict) -> dict:
-        picked = {n: item.get(n) for n in names}
-        return {n: float(v) if n in numbers and v is not None else v for n, v in picked.items()}
+@F.pandas_udf(StringType())
+def _literal_json(values: pd.Series) -> pd.Series:
+    """JSON text of each Python literal that is a list of dicts; null for any other."""
 
-    def read(value: str):
+    def read(value: str | None) -> str | None:
+        if value is None:
+            return None
         try:
-            return [as_row(item) for item in ast.literal_eval(value)]
-        except (ValueError, SyntaxError, TypeError, AttributeError):
+            rows = ast.literal_eval(value)
+            return json.dumps(rows) if isinstance(rows, list) and all(isinstance(r, dict) for r in rows) else None
+        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
             return None
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(rows=[read(v) for v in frame[column]])
-
-    return batches
+    return values.map(read, na_action="ignore")

@@ -71,12 +71,14 @@ def tool_error_share(spark, sf_dir):
     "parse_result_log",
     f"""SELECT {O.ATTEMPT_ID} AS log_id, 0::BIGINT AS pos, 'Supplier-' || l_suppkey AS company_name,
       'Part-' || l_partkey AS plan_name, round(l_extendedprice * 100)::BIGINT AS input_cents,
-      CASE WHEN l_returnflag <> 'R' THEN round(l_extendedprice * 100)::BIGINT END AS output_cents, 'USD' AS currency
+      CASE WHEN l_returnflag <> 'R' THEN round(l_extendedprice * 100)::BIGINT END AS output_cents, 'USD' AS currency,
+      5::BIGINT AS n_cells, 'USD' AS currency_cell
     FROM lineitem WHERE l_quantity > 2""",
 )
 def parse_result_log(spark, sf_dir):
     parsed = lg.parse_result_log(result_log(spark, sf_dir))
-    return parsed.select("log_id", F.posexplode("rows").alias("pos", "r")).select(
+    both = F.posexplode(F.arrays_zip("rows", "cells")).alias("pos", "b")
+    return parsed.select("log_id", both).select("log_id", "pos", F.col("b.rows").alias("r"), F.col("b.cells").alias("cells")).select(
         "log_id",
         F.col("pos").cast("bigint").alias("pos"),
         "r.company_name",
@@ -84,4 +86,6 @@ def parse_result_log(spark, sf_dir):
         F.expr("CAST(round(r.input_tokens * 100) AS BIGINT)").alias("input_cents"),
         F.expr("CAST(round(r.output_tokens * 100) AS BIGINT)").alias("output_cents"),
         "r.currency",
+        F.size("cells").cast("bigint").alias("n_cells"),
+        F.expr("cells['currency']").alias("currency_cell"),
     )

@@ -37,10 +37,8 @@ def _attempts(spark, sf_dir):
 
 
 def _report(spark, sf_dir, **options):
-    """The price report over stored attempts and stored snapshots."""
-    attempts = _attempts(spark, sf_dir)
-    snapshots = stage(sn.build_snapshots(attempts, stored=True))
-    return ch.pricing_changes(attempts, snapshots=snapshots, **options)
+    """The price report over stored attempts; texts are stored once."""
+    return ch.pricing_changes(_attempts(spark, sf_dir), **options)
 
 
 def _documents(spark, sf_dir):
@@ -255,9 +253,22 @@ def line_diff_netted(spark, sf_dir):
     return diff.groupBy("attempt_id", "provider", "line").agg(F.sum(sign).alias("net")).where("net <> 0")
 
 
-@query("line_diff")
+@query(
+    "line_diff",
+    f"""WITH {_DOC_STORED} {O.PAIRS} SELECT attempt_id, format, sha256(content) AS rebuilt_hash, true AS in_order
+    FROM pairs WHERE prior_content <> content""",
+)
 def line_diff(spark, sf_dir):
-    return ch.line_diff(sn.snapshot_pairs(_documents(spark, sf_dir)))
+    """Each current text rebuilt from its prior text and the ordered diff, and whether
+    the diff lists the lines of either side in order."""
+    pairs = sn.snapshot_pairs(_documents(spark, sf_dir))
+    diff = stage(ch.line_diff(pairs))
+    rebuilt = ch.apply_diff(pairs, diff).select("attempt_id", "format", F.sha2("rebuilt", 256).alias("rebuilt_hash"))
+    places = F.array_sort(F.collect_list(F.struct("seq", "at")))
+    side = diff.groupBy("attempt_id", "format", "change").agg(places.alias("x"))
+    side = side.withColumn("ok", F.expr("transform(x, s -> s.at) = array_sort(transform(x, s -> s.at))"))
+    ordered = side.groupBy("attempt_id", "format").agg(F.bool_and("ok").alias("in_order"))
+    return rebuilt.join(ordered, ["attempt_id", "format"])
 
 
 def _report_columns(report):
@@ -290,9 +301,16 @@ def pricing_changes(spark, sf_dir):
     return _report_columns(_report(spark, sf_dir, exact=False))
 
 
-@query("pricing_changes_ordered")
+@query("pricing_changes_ordered", f"{_REPORT} SELECT * FROM report SEMI JOIN newest USING (attempt_id)")
 def pricing_changes_ordered(spark, sf_dir):
-    return _report(spark, sf_dir, exact=True)
+    """The report in diff order, netted per line for the comparison."""
+    report = _report(spark, sf_dir, exact=True)
+    net = F.sum(F.expr("CASE change WHEN 'added' THEN 1L WHEN 'removed' THEN -1L END")).alias("_net")
+    keys = ("attempt_id", "provider", "scraped_at", "previous_scraped_at", "content_changed", "format", "line")
+    lines = report.groupBy(*keys).agg(net).where("line IS NULL OR _net <> 0")
+    return _report_columns(
+        lines.withColumn("change", F.expr("CASE WHEN _net > 0 THEN 'added' WHEN _net < 0 THEN 'removed' END")).withColumn("n", F.abs("_net"))
+    )
 
 
 @query(

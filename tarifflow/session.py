@@ -15,6 +15,10 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Checkpoints go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # Late rows of every trigger are counted, not of the last hundred alone.
+    "spark.sql.streaming.numRecentProgressUpdates": "100000",
     # Naive page times must not move with the machine's zone.
     "spark.sql.session.timeZone": "UTC",
     # Diffs carry two capped texts per row: keep an Arrow batch near 100 MB.

@@ -22,14 +22,17 @@ _STATE = "last_at TIMESTAMP_NTZ, last_attempt STRING, last_hash STRING, texts ST
 _COLUMNS = ["kind", "attempt_id", "provider", "format", "scraped_at", "previous_scraped_at", "prior_content", "content"]
 
 
-def read_folder(spark: SparkSession, folder: str, schema, glob: str = "*", files_per_trigger: int = 1000) -> DataFrame:
-    """Parquet files of a folder as a stream; the trigger size bounds a batch."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(folder)
-    )
+def read_folder(spark: SparkSession, folder: str, schema, glob: str = "*", files_per_trigger: int | None = None) -> DataFrame:
+    """Parquet files of a folder as a stream.
+
+    Without ``files_per_trigger`` a trigger takes all files that are there, so rows of a
+    stored folder never come late, whatever the number and order of its files.  Set it
+    to bound a batch where files arrive in order of time.
+    """
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(folder)
 
 
 # --- changes on arrival ----------------------------------------------------------
@@ -114,7 +117,7 @@ def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row in batch.itertuples(index=False):
             head = (row.kind, row.attempt_id, row.provider, row.format, row.scraped_at, row.previous_scraped_at)
             if row.kind == "pair":
-                out.extend((*head, *line) for line in changed_lines(row.prior_content, row.content))
+                out.extend((*head, *line[:3]) for line in changed_lines(row.prior_content, row.content))
             else:
                 out.append((*head, None, None, None))
         yield pd.DataFrame(out, columns=columns)
@@ -169,9 +172,17 @@ def stream_stage_counts(trace: DataFrame, width: str = "1 hour", lateness: str =
     )
 
 
-def run_available(stream: DataFrame, output_mode: str = "append") -> DataFrame:
+class LateRows(RuntimeError):
+    """Rows came behind the watermark and are not in the result."""
+
+
+def run_available(stream: DataFrame, output_mode: str = "append", allow_late: bool = False) -> DataFrame:
     """Run a stream over everything available now, into a new table in the shared
-    checkpoint folder, and return that table."""
+    checkpoint folder, and return that table.
+
+    Rows that a watermark dropped make it fail with :class:`LateRows`, unless
+    ``allow_late``: nothing is left out in silence.
+    """
     spark = stream.sparkSession
     base = shared_path(spark, "stream")
     query = (
@@ -183,4 +194,8 @@ def run_available(stream: DataFrame, output_mode: str = "append") -> DataFrame:
         .start()
     )
     query.awaitTermination()
+    # Counts of the latest triggers (spark.sql.streaming.numRecentProgressUpdates of them).
+    dropped = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+    if dropped and not allow_late:
+        raise LateRows(f"{dropped} rows came behind the watermark; table so far: {base}/table")
     return spark.read.schema(stream.schema).parquet(f"{base}/table")

@@ -68,12 +68,25 @@ def test_result_log_forms(spark):
         "[{'company_name': 'It\\'s', 'plan_name': 'x'}]", '[{"company_name": "None of it"}]', "no rows",
     ]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, result_text STRING")
-    got = {r.i: r.rows for r in lg.parse_result_log(df).collect()}
+    parsed = lg.parse_result_log(df).collect()
+    got = {r.i: r.rows for r in parsed}
     assert [(x.company_name, x.input_tokens) for x in got[0]] == [("Nimbus", 0.5), ("Quartz", 0.59)]
     assert got[1][0].company_name == "Sparkler" and got[1][0].currency is None
     assert got[2] == [] and got[3] == [] and got[7] is None
     assert (got[4][0].company_name, got[4][0].plan_name, got[4][0].input_tokens) == ("O'Neil", None, 1.0)
     assert got[5][0].company_name == "It's" and got[6][0].company_name == "None of it"
+    cells = {r.i: r.cells for r in parsed}
+    assert cells[0][1]["output_tokens"] == "0.79" and cells[4] == [
+        {"company_name": "O'Neil", "plan_name": None, "input_tokens": "1", "output_tokens": None}
+    ]
+
+
+def test_result_log_keeps_every_column(spark):
+    texts = ["[{'id': 7, 'tags': ['a', None], 'note': 'x'}]", '[{"id": 8, "deep": {"k": 1}}]', None, "[1, None]", "{'a': None}"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, result_text STRING")
+    got = {r.i: r.cells for r in lg.parse_result_log(df).collect()}
+    assert got[0] == [{"id": "7", "tags": '["a",null]', "note": "x"}] and got[1] == [{"id": "8", "deep": '{"k":1}'}]
+    assert got[2] is None and got[3] is None and got[4] is None
 
 
 def test_parts_of_an_answer_make_the_whole(spark):

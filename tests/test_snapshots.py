@@ -158,6 +158,17 @@ def test_exact_diff_equals_unified_diff(spark, text_pairs):
         assert got.get(i, []) == unified(old, new)[2:], (old, new)
 
 
+def test_prior_text_and_diff_give_the_current_text(spark, text_pairs):
+    base = pairs(spark, text_pairs)
+    got = {r.attempt_id: r.rebuilt for r in ch.apply_diff(base, ch.line_diff(base)).collect()}
+    assert got == {i: new.replace("\r\n", "\n").replace("\r", "\n") for i, (_, new) in enumerate(text_pairs)}
+
+
+def test_net_diff_needs_no_exchange(spark, text_pairs):
+    plan = ch.line_diff_net(pairs(spark, text_pairs), price_lines_only=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_price_lines_of_the_exact_diff(spark, text_pairs):
     rows = ch.price_changes(ch.line_diff(pairs(spark, text_pairs))).orderBy("attempt_id", "seq").collect()
     got = {}

@@ -1,6 +1,8 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
+
 from test_snapshots import attempts
 
 from tarifflow.operators import changes as ch
@@ -62,3 +64,19 @@ def test_stage_counts_equal_batch_for_closed_windows(spark, tmp_path):
         if hour + timedelta(hours=1) <= mark:
             want[hour, stage] = want.get((hour, stage), 0) + 1
     assert {(r.window_start, r.stage): r.events for r in got} == want
+
+
+def test_rows_do_not_depend_on_the_number_of_files(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    df = spark.createDataFrame([(start + timedelta(minutes=7 * i), "DB") for i in range(60)], "ts TIMESTAMP, stage STRING")
+    one, many = str(tmp_path / "one"), str(tmp_path / "many")
+    df.coalesce(1).write.parquet(one)
+    df.repartition(50).write.parquet(many)
+    counts = [
+        sorted(tuple(r) for r in jobs.run_available(jobs.stream_stage_counts(jobs.read_folder(spark, f, df.schema))).collect())
+        for f in (one, many)
+    ]
+    assert counts[0] == counts[1] and counts[0]
+    split = jobs.stream_stage_counts(jobs.read_folder(spark, many, df.schema, files_per_trigger=10))
+    with pytest.raises(jobs.LateRows):
+        jobs.run_available(split)
