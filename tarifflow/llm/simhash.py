@@ -21,7 +21,7 @@ along, those named as the results are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 from math import comb
 
@@ -41,11 +41,15 @@ BUCKET_ROWS = 2_000
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
+def lower_words(raw: bytes | None) -> list[bytes]:
+    return (raw or b"").translate(_LOWER).split()
+
+
 def fingerprint(raw: bytes | None, words: int = WORDS) -> int:
     """SimHash of a text's word shingles, repeats included, as an unsigned integer."""
     from xxhash import xxh64_intdigest
 
-    parts = (raw or b"").translate(_LOWER).split()
+    parts = lower_words(raw)
     if not parts:
         return 0
     if len(parts) <= words:
@@ -199,11 +203,11 @@ def components(edges: DataFrame) -> DataFrame:
     return leaves.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _classes(prints: DataFrame, distance: int) -> DataFrame:
+def classes_of(prints: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Per distinct ``print``: its documents ``n``, ``component_id``, ``root`` and ``members``
-    (documents of the component), from rows (``id``, ``print``)."""
+    (documents of the component), from rows (``id``, ``print``); ``linked`` finds the links."""
     classes = stage(prints.groupBy("print").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")))
-    roots = components(links(classes, distance))
+    roots = components(linked(classes))
     joined = classes.join(roots, classes["print"] == roots["node"], "left")
     joined = stage(joined.withColumn("root", F.coalesce("root", "print")).select("print", "n", "least", "root"))
     named = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("_prints"))
@@ -215,7 +219,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     """One row per document: its id, ``fingerprint`` (16 hex digits) and ``component_id``."""
     printed = with_fingerprints(docs.select(id_col, text), words, text=text).drop(text)
     printed = stage(printed.select(F.col(id_col).alias("id"), F.col("_print").alias("print")))
-    table = _classes(printed, distance).select("print", "n", "component_id")
+    table = classes_of(printed, lambda prints: links(prints, distance)).select("print", "n", "component_id")
     out = skew_join(printed, table, "print", "n", printed.count(), F.col("id"))
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -226,13 +230,18 @@ def deduplicate(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, *
     Only texts whose fingerprint has company are shuffled.
     """
     printed = stage(with_fingerprints(docs, words, text=text))
-    table = _classes(printed.select(F.col(id_col).alias("id"), F.col("_print").alias("print")), distance)
+    prints = printed.select(F.col(id_col).alias("id"), F.col("_print").alias("print"))
+    return one_of_each(printed, classes_of(prints, lambda prints: links(prints, distance)), docs.columns, id_col, text)
+
+
+def one_of_each(printed: DataFrame, table: DataFrame, columns: Sequence[str], id_col: str, text: str) -> DataFrame:
+    """Of each component of ``table`` (see :func:`classes_of`) one row with the smallest id."""
     shared = stage(table.where("members > 1"))
     marked = bloom_hits(printed, [F.col("_print")], stage(bloom_of(shared.select("print"))), "_shared")
     rest = marked.where("_shared").withColumnRenamed("_print", "print")
     rest = skew_join(rest, shared, "print", "n", printed.count(), F.col(id_col))
-    alone = rest.where("root is null").select(docs.columns)
+    alone = rest.where("root is null").select(columns)
     rest = rest.where(F.col("root").isNotNull() & F.col(id_col).eqNullSafe(F.col("component_id")))
     order = Window.partitionBy("root").orderBy(F.xxhash64(text))
-    first = rest.withColumn("_no", F.row_number().over(order)).where("_no = 1").select(docs.columns)
-    return marked.where("not _shared").select(docs.columns).unionByName(alone).unionByName(first)
+    first = rest.withColumn("_no", F.row_number().over(order)).where("_no = 1").select(columns)
+    return marked.where("not _shared").select(columns).unionByName(alone).unionByName(first)
