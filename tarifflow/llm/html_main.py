@@ -5,8 +5,10 @@ below elements that never hold main text (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, reader comments) are left out.  For every path of
 the rest, text length and punctuation per node are aggregated, smoothed with those of
 the enclosing section, fused into one score and compared with a threshold taken from
-the page itself.  A path stands or falls as a whole, so a short paragraph among long
-ones is kept, and a heading gets half of its score from the section around it.
+the page itself.  A path that reaches it chooses the content sections: the article or
+main element around its nodes, else the nearest section or division.  Every block of
+these is kept, whatever its own score: headings, lists, tables and short paragraphs.
+Of a section that is the body itself, blocks in divisions of their own are not part.
 
 Defined cases: null, empty and unclosed pages work like any other; a tag cut off by the
 end of the page is dropped; repeated rows are extracted again; columns are carried
@@ -36,6 +38,7 @@ INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark",
     "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
 }
+SECTIONS = {"article", "body", "div", "main", "section"}
 PAGE_LEVEL = {"/html", "/html/body", "/body"}
 ROLES_OUT = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 LABELS_OUT = {
@@ -64,10 +67,10 @@ OWN = 0.5
 
 
 class _Node:
-    __slots__ = ("out", "path", "tag")
+    __slots__ = ("inside", "out", "path", "tag")
 
-    def __init__(self, tag: str, path: str, out: bool):
-        self.tag, self.path, self.out = tag, path, out
+    def __init__(self, tag: str, path: str, out: bool, inside: tuple[tuple[str, int], ...] = ()):
+        self.tag, self.path, self.out, self.inside = tag, path, out, inside
 
 
 def _furniture(tag: str, attrs: str) -> bool:
@@ -83,10 +86,11 @@ def _furniture(tag: str, attrs: str) -> bool:
     return False
 
 
-def text_nodes(page: str) -> list[tuple[str, str]]:
-    """(path, text) of each block of text outside furniture, in page order."""
+def text_nodes(page: str) -> list[tuple[str, str, tuple[tuple[str, int], ...]]]:
+    """(path, text, sections) of each block of text outside furniture, in page order; the
+    sections around it, outermost first, are (tag, where it begins)."""
     stack = [_Node("", "", False)]
-    out: list[tuple[str, str]] = []
+    out: list[tuple[str, str, tuple[tuple[str, int], ...]]] = []
     held: list[str] = []
 
     def close_block() -> None:
@@ -94,7 +98,7 @@ def text_nodes(page: str) -> list[tuple[str, str]]:
             text = " ".join("".join(held).split())
             held.clear()
             if text:
-                out.append((stack[-1].path, text))
+                out.append((stack[-1].path, text, stack[-1].inside))
 
     def pop(to: int) -> None:
         close_block()
@@ -148,7 +152,8 @@ def text_nodes(page: str) -> list[tuple[str, str]]:
                 break
         close_block()
         top = stack[-1]
-        stack.append(_Node(tag, f"{top.path}/{tag}", top.out or _furniture(tag, m[3])))
+        inside = (*top.inside, (tag, at)) if tag in SECTIONS else top.inside
+        stack.append(_Node(tag, f"{top.path}/{tag}", top.out or _furniture(tag, m[3]), inside))
     close_block()
     return out
 
@@ -197,10 +202,20 @@ def content_paths(nodes: list[tuple[str, str]]) -> set[str]:
     return {p for p, s in score.items() if s >= THRESHOLD * best}
 
 
+def _section(inside: tuple[tuple[str, int], ...]) -> tuple[str, int] | None:
+    """The article or main element around a block, else the nearest section; None is the body."""
+    for tag in ("article", "main"):
+        for s in reversed(inside):
+            if s[0] == tag:
+                return s
+    return inside[-1] if inside and inside[-1][0] != "body" else None
+
+
 def main_text(page: str | None) -> str:
     nodes = text_nodes(page or "")
-    paths = content_paths(nodes)
-    return "\n".join(text for path, text in nodes if path in paths)
+    paths = content_paths([(path, text) for path, text, _ in nodes])
+    chosen = {_section(inside) for path, _, inside in nodes if path in paths}
+    return "\n".join(text for path, text, inside in nodes if path in paths or _section(inside) in chosen or not chosen.isdisjoint(inside))
 
 
 def extract(pages: DataFrame, *, html_col: str = "html") -> DataFrame:

@@ -182,6 +182,22 @@ def test_main_text(spark):
     assert html.unescape("&amp") == "&"
 
 
+def test_main_text_keeps_whole_sections():
+    long, short = ("Words of a paragraph, " * 12 * 4)[:1000], ("Words of a shorter one, and more. " * 9)[:300]
+    heads = [f"Heading number {i} of the article" for i in range(6)]
+    items = [f"an item of the list, number {i}" for i in range(10)]
+    cells = [f"cell {i}" for i in range(6)]
+    links = "<div><ul>" + "".join(f"<li><a href='{i}'>item {i}</a></li>" for i in range(40)) + "</ul></div>"
+    headed = f"<h1>{heads[0]}</h1>" + "".join(f"<h2>{h}</h2><p>{long}</p>" for h in heads[1:])
+    listed = f"<h1>{heads[0]}</h1>" + f"<p>{short}</p>" * 5 + "<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>"
+    tabled = f"<p>{long}</p>" * 3 + "<table><tbody><tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr></tbody></table>"
+    headed_text = [heads[0], *[x for h in heads[1:] for x in (h, long.strip())]]
+    for body, want in ((headed, headed_text), (listed, [heads[0], *[short.strip()] * 5, *items]), (tabled, [*[long.strip()] * 3, *cells])):
+        for tag in ("article", "main", "div"):
+            assert html_main.main_text(f"<body>{links}<{tag}>{body}</{tag}></body>").split("\n") == want
+        assert html_main.main_text(f"<body>{links}{body}</body>").split("\n") == want
+
+
 def _covered(texts, span):
     seen = Counter(t[p : p + span] for t in texts for p in range(len(t) - span + 1))
     out = []
