@@ -88,3 +88,38 @@ FROM p JOIN s ON p.arid = s.arid AND NOT s.same AND 50 * p.positive_score <= 100
 WINDOW nearest AS (PARTITION BY p.arid, p.prid ORDER BY s.score DESC, s.vec_id NULLS LAST, s.rid)
 QUALIFY row_number() OVER nearest <= 3
 """
+
+COLLOCATIONS = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents
+), p AS (
+    SELECT lang, list_filter(regexp_split_to_array(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[\x20\x09]+'), lambda x: x <> '') AS w FROM d
+), g AS (
+    SELECT lang, m, i, w FROM p, range(1, 6) lengths(m), unnest(range(1, len(w) - m + 2)) places(i)
+), f AS (
+    SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase, count(*) AS n FROM g GROUP BY ALL
+), total AS (
+    SELECT lang, sum(n) AS n FROM f WHERE m = 1 GROUP BY lang
+), c AS (
+    SELECT lang, m, phrase, string_split(phrase, ' ') AS w, n AS a FROM f WHERE m >= 2 AND n >= 100
+), inner_phrases AS (
+    SELECT DISTINCT c.lang, array_to_string(c.w[i : i + k - 1], ' ') AS phrase, c.a
+    FROM c, range(2, 5) lengths(k), unnest(range(1, c.m - k + 2)) places(i)
+    WHERE k < c.m
+), cuts AS (
+    SELECT c.lang, c.phrase, c.a, k, l.n AS l, r.n AS r, total.n,
+           CAST((1000::HUGEINT * c.a * total.n) // (l.n::HUGEINT * r.n) AS BIGINT) AS score
+    FROM c, range(1, 5) cut(k), f l, f r, total
+    WHERE k < c.m AND l.lang = c.lang AND r.lang = c.lang AND total.lang = c.lang
+      AND l.phrase = array_to_string(c.w[1:k], ' ') AND r.phrase = array_to_string(c.w[k + 1:], ' ')
+), weakest AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER best AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM weakest
+WHERE NOT EXISTS (FROM inner_phrases i WHERE i.lang = weakest.lang AND i.phrase = weakest.phrase AND 100 * i.a >= 100 * weakest.a)
+WINDOW best AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+QUALIFY row_number() OVER best <= 2000
+"""

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bond, exact_dedup, hnsw, html_main, mixing, packing, quality, repeats, sharding, simhash, toxicity, url_filter
-from .oracles import EXACT_DEDUP, HARD_NEGATIVES, QUALITY, URL_FILTER
+from . import bond, collocations, exact_dedup, hnsw, html_main, mixing, packing, quality, repeats, sharding, simhash, toxicity, url_filter
+from .oracles import COLLOCATIONS, EXACT_DEDUP, HARD_NEGATIVES, QUALITY, URL_FILTER
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op2_exact_dedup": EXACT_DEDUP, "op3_quality_rules": QUALITY, "op5_url_filter": URL_FILTER, "op12_hard_negatives": HARD_NEGATIVES}
+ORACLES: dict[str, str] = {"op2_exact_dedup": EXACT_DEDUP, "op3_quality_rules": QUALITY, "op5_url_filter": URL_FILTER, "op12_hard_negatives": HARD_NEGATIVES, "op13_collocations": COLLOCATIONS}
 
 
 def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -101,3 +101,8 @@ def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return bond.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
+@_query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
