@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from tarifflow.operators.ordered import stage
 
-__all__ = ["UPPER", "LOWER", "ascii_lower", "bloom_hits", "bloom_of", "clashing", "gapless_rank", "skew_join", "stage"]
+__all__ = ["UPPER", "LOWER", "ascii_lower", "bloom_hits", "bloom_of", "clashing", "gapless_rank", "set_aside", "skew_join", "stage"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # A key with more than 1/HOT_SHARE of the rows is hot, so there are at most
@@ -32,6 +32,15 @@ def clashing(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in wanted])
 
 
+def set_aside(df: DataFrame) -> tuple[DataFrame, dict[str, str], list[Column]]:
+    """(``df`` under plain inner names, inner name of each column, the columns as they were).
+
+    Whatever names an operator adds, none of the caller's columns clashes with them.
+    """
+    inner = {c: f"own{i}_" for i, c in enumerate(df.columns)}
+    return df.toDF(*inner.values()), inner, [F.col(new).alias(old) for old, new in inner.items()]
+
+
 def skew_join(big: DataFrame, groups: DataFrame, key: str, size: str, rows: int, salt: Column) -> DataFrame:
     """Left join on ``key`` where ``groups`` has one row per key and its ``size``.
 

@@ -3,7 +3,7 @@
 Documents are tokenized where they are read; only piece lengths are shuffled.  A
 document of more than ``capacity`` ids is cut into full pieces and one remainder.
 A hash deals documents out to groups of about GROUP_DOCS, so no task needs more than
-a group, and each group is packed by itself: longest piece first, each into the first
+a group, whatever ids or copies the table has, and each group is packed by itself: longest piece first, each into the first
 sequence with room, which a tournament tree over the free space finds in log time.
 
 Defined cases: a null or empty text is the end id alone; ids may be null or repeated
@@ -26,8 +26,8 @@ CAPACITY = 4096
 END_ID = 2
 GROUP_DOCS = 5_000
 TOKENIZER = "word_bpe_49k.json"
-# Ids of this many distinct chunks are remembered per worker; beyond it the memory is cleared.
-REMEMBERED = 1_000_000
+# Ids of this many distinct chunks, twice over, are remembered per worker.
+REMEMBERED = 150_000
 # Longer chunks are tokenized each time they occur.
 LONG_CHUNK = 64
 # Closing punctuation that the tokenizer splits from a letter before it (it treats ' apart).
@@ -47,18 +47,21 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes.
 
-    The tokenizer lower-cases, splits at white space and between letters and punctuation,
-    and nothing crosses a split.  A text's ids are therefore those of its chunks between
-    spaces and line ends, and a chunk's those of its letters and its closing punctuation.
-    Words repeat, so both are looked up; unknown ones are tokenized together.
+    The tokenizer finds its special tokens, lower-cases, splits at white space and between
+    letters and punctuation, and nothing crosses a split.  A text's ids are therefore those
+    of its chunks between spaces and line ends, and a chunk's those of its letters and its
+    closing punctuation.  (No special token holds a space or ends a word of letters.)
+    Words repeat, so both are looked up; unknown ones are tokenized together.  Two
+    generations of looked-up chunks are kept: what the newer one lacks is taken over from
+    the older one, which goes when the newer one is full.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         # Byte-level models write bytes that are no printable Latin-1 as characters from 256 on.
         odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
         self.bytes = {b: 256 + i for i, b in enumerate(odd)}
@@ -85,14 +88,16 @@ class Encoder:
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         """Remember ``chunks``; those too long to remember are returned."""
-        known = self.known
+        known, before = self.known, self.before
         long = [c for c in chunks if len(c) > LONG_CHUNK]  # as they are: never split or lower-cased
-        parts = {c: self._parts(c) for c in chunks if len(c) <= LONG_CHUNK}
-        if len(known) + 2 * len(parts) > REMEMBERED:
-            known.clear()
+        short = {c for c in chunks if len(c) <= LONG_CHUNK}
+        taken = {c: before[c] for c in short if c in before}
+        known.update(taken)
+        parts = {c: self._parts(c) for c in short.difference(taken)}
         new = {p for two in parts.values() for p in two if p not in known}
         if new:
-            known.update(self._tokenized(list(new)))
+            known.update({p: before[p] for p in new if p in before})
+            known.update(self._tokenized([p for p in new if p not in known]))
         for chunk, (body, end) in parts.items():
             known[chunk] = known[body] + known[end] if end else known[body]
         if not long:
@@ -102,14 +107,13 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         chunks = text.replace("\n", " ").split(" ")
-        known = self.known
-        if missing := set(chunks).difference(known):
-            long = self._learn(missing)
-            if not known.keys() >= set(chunks).difference(long):
-                long |= self._learn(set(chunks).difference(known, long))  # the memory was cleared
+        if missing := set(chunks).difference(self.known):
+            if len(self.known) > REMEMBERED:
+                self.known, self.before, missing = {}, self.known, set(chunks)
+            long, known = self._learn(missing), self.known
             if long:
                 return b"".join([long[c] if c in long else known[c] for c in chunks])
-        return b"".join(map(known.__getitem__, chunks))
+        return b"".join(map(self.known.__getitem__, chunks))
 
 
 def encoder(path: str) -> Encoder:
@@ -167,38 +171,42 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple
 
 PIECE_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+# The row a piece is from: rows alike in all columns are dealt to groups one by one.
+ROW = "_row"
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Tokenized documents cut into pieces of at most ``capacity`` ids."""
+    """Tokenized documents cut into pieces of at most ``capacity`` ids; ``_row`` numbers the rows."""
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
         for batch in batches:
             out: list[tuple] = []
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for row, doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 ids = encode(value.as_py() or "") + end
                 total = len(ids) // 4
                 for start in range(0, total, capacity):
                     part = memoryview(ids)[4 * start : 4 * (start + capacity)]
-                    out.append((doc, start, len(part) // 4, zlib.crc32(part), total))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=PIECE_NAMES)
+                    out.append((doc, start, len(part) // 4, zlib.crc32(part), total, row))
+            cols = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[*PIECE_NAMES, ROW])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, PIECES)
+    row = F.monotonically_increasing_id().alias(ROW)
+    return docs.select(row, F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"{PIECES}, {ROW} long")
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece with ``sequence_id`` and ``offset``."""
     groups = max(1, round(docs.count() / group_docs))
     cut = pieces(docs, path or tokenizer_path(), capacity, id_col=id_col, text=text)
-    cut = cut.withColumn("_group", F.pmod(F.xxhash64("doc_id", "doc_tokens"), F.lit(groups)))
+    # By row and place: copies, and the pieces of one long text, spread over all groups.
+    cut = cut.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", ROW), F.lit(groups)))
 
     def run(group: pa.Table) -> pa.Table:
-        keys = ["doc_id", "start", "length", "ids_crc32"]
+        keys = ["doc_id", "start", "length", "ids_crc32", ROW]
         no = group.column("_group")[0].as_py()
-        group = group.select(PIECE_NAMES).sort_by([(k, "ascending") for k in keys])
+        group = group.sort_by([(k, "ascending") for k in keys]).select(PIECE_NAMES)
         bins, offsets = first_fit_decreasing(group.column("length").to_numpy(), capacity)
         return group.append_column("sequence_id", pa.array(bins * groups + no)).append_column("offset", pa.array(offsets))
 

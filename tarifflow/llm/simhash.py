@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import LOWER, UPPER, bloom_hits, bloom_of, skew_join, stage
+from .common import LOWER, UPPER, bloom_hits, bloom_of, set_aside, skew_join, stage
 
 WORDS = 3
 DISTANCE = 3
@@ -225,23 +225,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
 
 
 def deduplicate(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay: of each component one row with the smallest id.
+    """The rows that stay: of each component one row with the smallest id, with all its columns.
 
     Only texts whose fingerprint has company are shuffled.
     """
-    printed = stage(with_fingerprints(docs, words, text=text))
-    prints = printed.select(F.col(id_col).alias("id"), F.col("_print").alias("print"))
-    return one_of_each(printed, classes_of(prints, lambda prints: links(prints, distance)), docs.columns, id_col, text)
-
-
-def one_of_each(printed: DataFrame, table: DataFrame, columns: Sequence[str], id_col: str, text: str) -> DataFrame:
-    """Of each component of ``table`` (see :func:`classes_of`) one row with the smallest id."""
+    inner, names, own = set_aside(docs)
+    printed = stage(with_fingerprints(inner, words, text=names[text]))
+    doc = F.col(names[id_col])
+    prints = printed.select(doc.alias("id"), F.col("_print").alias("print"))
+    table = classes_of(prints, lambda classes: links(classes, distance))
     shared = stage(table.where("members > 1"))
     marked = bloom_hits(printed, [F.col("_print")], stage(bloom_of(shared.select("print"))), "_shared")
     rest = marked.where("_shared").withColumnRenamed("_print", "print")
-    rest = skew_join(rest, shared, "print", "n", printed.count(), F.col(id_col))
-    alone = rest.where("root is null").select(columns)
-    rest = rest.where(F.col("root").isNotNull() & F.col(id_col).eqNullSafe(F.col("component_id")))
-    order = Window.partitionBy("root").orderBy(F.xxhash64(text))
-    first = rest.withColumn("_no", F.row_number().over(order)).where("_no = 1").select(columns)
-    return marked.where("not _shared").select(columns).unionByName(alone).unionByName(first)
+    rest = skew_join(rest, shared, "print", "n", printed.count(), doc)
+    alone = rest.where("root is null").select(own)
+    rest = rest.where(F.col("root").isNotNull() & doc.eqNullSafe(F.col("component_id")))
+    # Rows of the same id: the same one on every run.
+    order = Window.partitionBy("root").orderBy(F.xxhash64(names[text]), F.xxhash64(*names.values()))
+    first = rest.withColumn("_no", F.row_number().over(order)).where("_no = 1").select(own)
+    return marked.where("not _shared").select(own).unionByName(alone).unionByName(first)

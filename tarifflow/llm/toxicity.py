@@ -53,7 +53,7 @@ RESULTS = ("score", "predicted", "evidence_ids", "evidence_terms")
 # Weight of the prior against the votes.
 PRIOR = 0.05
 _WORDS = re.compile(r"\w+")
-_REMEMBERED = 500_000
+_REMEMBERED = 200_000
 
 
 def _terms_of(word: str) -> list[str]:
@@ -312,23 +312,25 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", threshold: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        at = names.index(text)
         for batch in batches:
             scores, ids, terms = [], [], []
-            for v in batch.column(batch.num_columns - 1):
+            for v in batch.column(at).cast(pa.string()):
                 words = _words(v.as_py())
                 evidence, found, hit = model.index.vote(words, words.total())
                 scores.append(model.score(evidence))
                 ids.append([model.index.ids[i] for i in found])
                 terms.append([model.index.names[t] for t in hit[:10]])
             cols = [
-                *batch.columns[:-1], pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()),
+                *batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()),
                 pa.array(ids, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.string())),
             ]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, *RESULTS])
+        model.index.known.clear()  # the worker lives on and has other work
 
     schema = T.StructType(list(docs.schema.fields)).add("score", "double").add("predicted", "integer")
     schema = schema.add("evidence_ids", T.ArrayType(T.LongType())).add("evidence_terms", T.ArrayType(T.StringType()))
-    return docs.withColumn("_scored", F.col(text).cast("string")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id"):

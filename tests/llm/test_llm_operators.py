@@ -312,11 +312,33 @@ def test_first_fit_decreasing():
 
 
 def test_encoder_equals_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.tokenizer_path())
     encoder, rng = packing.Encoder(packing.tokenizer_path()), random.Random(3)
-    pool = "abzABZ éÉßİŸÖ×ªſǅΣς \n\t'’'s't.,;-#*$%&<>0½Ⅷ中ひ한\u0301ﬁ😀\xa0\x1c\x85"
+    special = ["<|endoftext|>", "<|startoftext|>", "<|endoftext|", "<|EndOfText|>", "a<|endoftext|>b"]
+    pool = [*"abzABZ éÉßİŸÖ×ªſǅΣς \n\t'’'s't.,;-#*$%&<>|0½Ⅷ中ひ한\u0301ﬁ😀\xa0\x1c\x85", *special, "x" * 70]
     for _ in range(3000):
         text = "".join(rng.choices(pool, k=rng.randint(0, 12)))
+        assert encoder.encode(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+    assert np.frombuffer(encoder.encode("hello <|endoftext|> world"), "<u4").tolist() == [3306, 49407, 1002]
+
+
+def test_encoder_remembers_within_bounds(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    encoder, rng = packing.Encoder(packing.tokenizer_path()), random.Random(4)
+    for _ in range(300):
+        text = " ".join(rng.choice("abcdefgh") + rng.choice("ijkl") + rng.choice(",. ") for _ in range(rng.choice((3, 30, 200))))
         assert encoder.encode(text) == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert len(encoder.before) <= 40 + 300
+
+
+def test_packing_deals_copies_evenly(spark):
+    rows = spark.range(3000).selectExpr("if(id < 2000, 7, id) AS doc_id", "if(id < 2000, 'a b c', concat('t ', id)) AS text")
+    got = packing.pack(rows, group_docs=100).collect()
+    assert len(got) == 3000
+    groups = Counter(r["sequence_id"] % 30 for r in got)
+    assert len(groups) == 30 and max(groups.values()) < 200
 
 
 def test_toxicity_learns_words_and_beginnings(spark):
