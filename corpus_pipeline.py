@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarifflow.llm import exact_dedup, mixing, near_copies, packing, toxicity
-from tarifflow.llm.common import stage
+from tarifflow.llm import exact_dedup, mixing, packing, simhash, toxicity
+from tarifflow.llm.common import set_aside, stage
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled examples do not call toxic."""
     model = toxicity.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
+    inner, names, own = set_aside(docs)
+    return toxicity.score(inner, model, text=names["text"]).where("predicted = 0").select(own)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,14 +26,15 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each set of near copies: five-word shingles, Jaccard 0.8 or more."""
-    return near_copies.deduplicate(docs)
+    """One document of each set whose fingerprints differ in few bits."""
+    return simhash.deduplicate(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the order of the mixture; those of scarce sources come again."""
-    mixed = mixing.mix(docs)
-    return mixed.repartitionByRange("position").sortWithinPartitions("position").select(docs.columns)
+    inner, names, own = set_aside(docs)
+    mixed = mixing.mix(inner, source=names["source"], id_col=names["doc_id"], text=names["text"])
+    return mixed.repartitionByRange("position").sortWithinPartitions("position").select(own)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
