@@ -94,8 +94,8 @@ def line_diff_net(pairs: DataFrame, price_lines_only: bool = False) -> DataFrame
     """Order-free net change per line: +n added or -n removed copies.
 
     Fully native and without a shuffle: a pair is one row, and its lines are counted
-    there.  Only lines that one side lacks or that a side repeats can have a net change,
-    so all others are left out before lines are compared.
+    there by sorting both sides together and measuring runs, so the work grows with the
+    number of lines (and its logarithm), however few of them the sides share.
     """
 
     def lines(column: str):
@@ -104,27 +104,33 @@ def line_diff_net(pairs: DataFrame, price_lines_only: bool = False) -> DataFrame
         # taken for a header depends on the sign of its net change.
         return F.expr(f"filter({every}, l -> {text.is_price_like_sql('l')})" if price_lines_only else every)
 
-    def repeated(column: str) -> str:
-        return f"transform(array(array_sort({column})), x -> filter(x, (l, i) -> i > 0 AND l = x[i - 1]))[0]"
-
     # Equal sides yield nothing.  Tested here and not in a filter, which would be
     # pushed into the join below and split and match every line a second time.
-    doubtful = (
-        "array_distinct(concat(array_except(_old, _new), array_except(_new, _old), "
-        f"{repeated('_old')}, {repeated('_new')}))"
-    )
-    net = (
-        "filter(transform(_lines, l -> named_struct('line', l, 'net', CAST(size(filter(_new, x -> x = l)) "
-        "- size(filter(_old, x -> x = l)) AS BIGINT))), s -> s.net <> 0)"
-    )
     return (
         pairs.select(*_PAIR, lines("prior_content").alias("_old"), lines("content").alias("_new"))
-        .withColumn("_lines", F.expr(f"IF(_old = _new, array(), {doubtful})"))
-        .select(*_PAIR, F.inline(F.expr(net)))
+        .select(*_PAIR, F.inline(F.expr(f"IF(_old = _new, array(), {_net_sql('_old', '_new')})")))
         .withColumn("change", F.expr("IF(net > 0, 'added', 'removed')"))
     )
 
 
+def _net_sql(old: str, new: str) -> str:
+    """Structs (line, net) of the lines whose numbers differ; one side must hold a line.
+
+    ``transform(array(x), v -> ...)[0]`` names a value once: v is all lines in order, the
+    old copies of a line before its new ones; r the runs of equal entries with their
+    lengths.  Every step reads its array once, by place.
+    """
+    both = f"array_sort(concat(transform({old}, l -> named_struct('line', l, 'sign', -1L)), transform({new}, l -> named_struct('line', l, 'sign', 1L))))"
+    starts = "filter(sequence(0, size(v) - 1), i -> i = 0 OR v[i] <> v[i - 1])"
+    length = "coalesce(get(s, k + 1), size(v)) - s[k]"
+    runs = f"transform(array({starts}), s -> transform(s, (at, k) -> named_struct('line', v[at].line, 'net', v[at].sign * ({length}))))[0]"
+    # A line's run of new copies follows its run of old ones.
+    total = "r[k].net + IF(get(r, k + 1).line = r[k].line, r[k + 1].net, 0L)"
+    heads = "filter(sequence(0, size(r) - 1), k -> k = 0 OR r[k].line <> r[k - 1].line)"
+    nets = f"transform(array({runs}), r -> transform({heads}, k -> named_struct('line', r[k].line, 'net', {total})))[0]"
+    return f"filter(transform(array({both}), v -> {nets})[0], c -> c.net <> 0)"
+
+
 def price_changes(diff: DataFrame, price_lines_only: bool = False) -> DataFrame:
     """Keep the price-like lines of a diff and clip them for display.
     ``price_lines_only``: the diff was made with that option, do not match again."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,14 +85,14 @@ def build_snapshots(attempts: DataFrame, stored: bool = False) -> DataFrame:
     )
 
 
-def content_changed(attempts: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
+def content_changed(attempts: DataFrame, split_rows: int = SPLIT_ROWS, extra: Sequence[str] = ()) -> DataFrame:
     """Flags per attempt: compared with the provider's previous *attempt*, which
     has no hash if it failed, so a failure in between hides a change.
 
     Works on narrow columns only: attempt_id, provider, scraped_at, success,
-    content_hash.
+    content_hash, and those of ``extra``.
     """
-    narrow = attempts.select("attempt_id", "provider", "scraped_at", "success", "content_hash")
+    narrow = attempts.select("attempt_id", "provider", "scraped_at", "success", "content_hash", *extra)
     scan = OrderedScan(narrow, ["provider"], ["scraped_at", "attempt_id"], split_rows=split_rows).lag(
         "_before", "content_hash", "scraped_at"
     )
@@ -104,12 +106,13 @@ def content_changed(attempts: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFr
     )
 
 
-def prior_snapshot(snapshots: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
+def prior_snapshot(snapshots: DataFrame, split_rows: int = SPLIT_ROWS, extra: Sequence[str] = ()) -> DataFrame:
     """For each stored text the previous *stored* text of its (provider, format),
     even if equal: attempt_id, provider, format, scraped_at, text_hash,
-    prior_attempt_id, prior_text_hash.  Texts themselves stay where they are.
+    prior_attempt_id, prior_text_hash, and the columns of ``extra``.  Texts themselves stay
+    where they are.
     """
-    narrow = snapshots.select("attempt_id", "provider", "format", "scraped_at", "text_hash")
+    narrow = snapshots.select("attempt_id", "provider", "format", "scraped_at", "text_hash", *extra)
     scan = OrderedScan(narrow, ["provider", "format"], ["scraped_at", "attempt_id"], split_rows=split_rows).lag(
         "_before", "attempt_id", "text_hash"
     )
