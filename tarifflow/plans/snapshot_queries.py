@@ -9,11 +9,13 @@ from ..functions.html import with_clean_content
 from ..operators import changes as ch
 from ..operators import lookup as lk
 from ..operators import snapshots as sn
+from ..operators.history import History
 from ..operators.ordered import shared_path, stage
 from ..sources.files import parse_metadata
 from ..sources.payloads import normalize_payload, page_fields
 from ..sources.tables import current_snapshots as sources_current
 from ..sources.tables import read_snapshots, write_snapshots
+from ..sources.texts import read_texts
 from . import oracle_parts as O
 from .derived import (
     document_snapshots,
@@ -223,7 +225,63 @@ def current_snapshots(spark, sf_dir):
     path = shared_path(spark, "snapshots")
     attempts = sn.clean_payloads(price_payloads(spark, sf_dir), any_html=False)
     write_snapshots(sn.build_snapshots(attempts), path, grain="month")
-    return sources_current(read_snapshots(spark, path)).select("provider", "format", "attempt_id", "content")
+    current = sources_current(read_snapshots(spark, path, texts=False), read_texts(spark, f"{path}/texts"))
+    return current.select("provider", "format", "attempt_id", "content")
+
+
+@query(
+    "stored_texts",
+    f"""WITH {O.STORED}
+    SELECT sha256(content) AS text_hash, length(content)::BIGINT AS n_chars, count(DISTINCT content) AS copies
+    FROM stored GROUP BY ALL""",
+)
+def stored_texts(spark, sf_dir):
+    """Scraped twice without a change: each text is still stored once."""
+    path = shared_path(spark, "snapshots")
+    rows = sn.build_snapshots(_attempts(spark, sf_dir), stored=True)
+    write_snapshots(rows, path, grain="month")
+    write_snapshots(rows.withColumn("scraped_at", F.expr("scraped_at + INTERVAL 10 YEARS")), path, grain="month")
+    texts = read_texts(spark, f"{path}/texts")
+    return texts.groupBy("text_hash").agg(F.max(F.length("content")).cast("bigint").alias("n_chars"), F.count(F.lit(1)).alias("copies"))
+
+
+# --- history in batches ----------------------------------------------------------------
+
+
+def _history(spark, sf_dir):
+    """Three batches in order of time, the last one delivered again."""
+    attempts = _attempts(spark, sf_dir)
+    history = History(spark, shared_path(spark, "history"))
+    edges = ("1900-01-01", "1994-06-01", "1996-06-01", "2100-01-01")
+    batches = [attempts.where(f"scraped_at >= TIMESTAMP_NTZ '{a}' AND scraped_at < TIMESTAMP_NTZ '{b}'") for a, b in zip(edges, edges[1:])]
+    for number, rows in enumerate(batches):
+        history.add(rows, number)
+    history.add(batches[-1], len(batches) - 1)
+    return history
+
+
+@query(
+    "history_flags",
+    f"""WITH {O.FLAGS}
+    SELECT attempt_id, provider, scraped_at, success, content_hash, content_changed,
+      CASE WHEN content_changed THEN prev_at END AS previous_scraped_at,
+      CASE WHEN content_changed THEN prev_hash END AS previous_content_hash FROM flags""",
+)
+def history_flags(spark, sf_dir):
+    return _history(spark, sf_dir).attempts().select(
+        "attempt_id", "provider", "scraped_at", "success", "content_hash", "content_changed", "previous_scraped_at", "previous_content_hash"
+    )
+
+
+@query(
+    "history_prior",
+    f"""WITH {O.STORED}
+    SELECT attempt_id, provider, format, lag(attempt_id) OVER w AS prior_attempt_id, sha256(lag(content) OVER w) AS prior_hash
+    FROM stored WINDOW w AS (PARTITION BY provider, format ORDER BY scraped_at, attempt_id)""",
+)
+def history_prior(spark, sf_dir):
+    rows = _history(spark, sf_dir).snapshots()
+    return rows.select("attempt_id", "provider", "format", "prior_attempt_id", F.col("prior_text_hash").alias("prior_hash"))
 
 
 # --- changes -----------------------------------------------------------------------
@@ -296,6 +354,12 @@ def pricing_changes_history(spark, sf_dir):
     return _report_columns(_report(spark, sf_dir, latest_only=False, exact=False))
 
 
+@query("history_report", f"{_REPORT} SELECT * FROM report")
+def history_report(spark, sf_dir):
+    """The report of all batches, from texts stored once."""
+    return _report_columns(_history(spark, sf_dir).report(exact=False))
+
+
 @query("pricing_changes", f"{_REPORT} SELECT * FROM report SEMI JOIN newest USING (attempt_id)")
 def pricing_changes(spark, sf_dir):
     return _report_columns(_report(spark, sf_dir, exact=False))

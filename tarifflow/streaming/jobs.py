@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from ..functions import text
-from ..operators.changes import changed_lines, is_listed_sql
+from ..operators.history import History
 from ..operators.ordered import shared_path
 
-_OUT = (
-    "kind STRING, attempt_id STRING, provider STRING, format STRING, scraped_at TIMESTAMP_NTZ, "
-    "previous_scraped_at TIMESTAMP_NTZ, prior_content STRING, content STRING"
-)
-_STATE = "last_at TIMESTAMP_NTZ, last_attempt STRING, last_hash STRING, texts STRING"
-_COLUMNS = ["kind", "attempt_id", "provider", "format", "scraped_at", "previous_scraped_at", "prior_content", "content"]
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_folder(spark: SparkSession, folder: str, schema, glob: str = "*", files_per_trigger: int | None = None) -> DataFrame:
@@ -38,125 +36,108 @@ def read_folder(spark: SparkSession, folder: str, schema, glob: str = "*", files
 # --- changes on arrival ----------------------------------------------------------
 
 
-def snapshot_events(attempts: DataFrame) -> DataFrame:
-    """Per provider keep the last attempt's hash and the last stored texts; emit
+def stream_changes(attempts: DataFrame, history: History) -> DataStreamWriter:
+    """Writer that adds every trigger's attempts to ``history`` and keeps its changes there.
+
+    What an attempt is compared with lies in the history's tables, not in a task: a
+    provider's rows of one trigger are put in order by range partitions, so a provider may
+    have any share of them, and texts are read by hash for pairs that differ.  A trigger
+    that is run again, after a failure or with a new checkpoint, changes nothing.
+    ``history.changes()`` gives, trigger by trigger,
 
-    * ``pair``: a stored text with its differing predecessor,
     * ``flag``: an attempt whose hash differs from the previous attempt's,
-    * ``late``: an attempt older than one already seen.  It changes no state and
+    * ``pair``: a changed price line,
+    * ``late``: an attempt older than one of an earlier trigger.  It changes no state and
       is reported, not lost.
-
-    The state function only matches texts up; diffing happens outside of it, so a
-    busy provider's comparisons can be spread over tasks again.
     """
-    rows = attempts.select(
-        F.col("attempt_id").cast("string").alias("attempt_id"),
-        "provider",
-        "scraped_at",
-        F.coalesce("content_hash", F.lit("")).alias("content_hash"),
-        F.to_json(F.expr("transform(parts, p -> named_struct('format', p.format, 'content', p.content))")).alias("texts"),
-    )
-    return rows.groupBy("provider").applyInPandasWithState(
-        _match_up, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout
-    )
 
+    def add(rows: DataFrame, batch: int) -> None:
+        history.add(rows, batch)
+        history.keep_changes(batch)
 
-def _match_up(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    provider = key[0]
-    last_at, last_attempt, last_hash, stored = state.get if state.exists else (None, "", "", "{}")
-    texts = json.loads(stored)
-    # Order within a micro-batch is ours to make; its size is set by the trigger.
-    rows = sorted(
-        (at, attempt, digest, parts)
-        for frame in frames
-        for at, attempt, digest, parts in zip(
-            frame["scraped_at"].dt.to_pydatetime(), frame["attempt_id"], frame["content_hash"], frame["texts"]
-        )
-    )
-    out = []
-    for at, attempt, digest, parts in rows:
-        if last_at is not None and (at, attempt) < (last_at, last_attempt):
-            out.append(("late", attempt, provider, None, at, None, None, None))
-            continue
-        if digest and last_hash and digest != last_hash:
-            out.append(("flag", attempt, provider, None, at, last_at, None, None))
-        for part in json.loads(parts) if parts else ():
-            before = texts.get(part["format"])
-            if before is not None and before != part["content"]:
-                out.append(("pair", attempt, provider, part["format"], at, None, before, part["content"]))
-            texts[part["format"]] = part["content"]
-        last_at, last_attempt, last_hash = at, attempt, digest
-    state.update((last_at, last_attempt, last_hash, json.dumps(texts)))
-    if out:
-        yield pd.DataFrame(out, columns=_COLUMNS)
-
-
-def stream_changes(attempts: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Price-change rows on arrival: the flags and late notices as they are, and
-    one row per changed price line.  ``partitions`` deals the matched texts out
-    again before they are diffed."""
-    events = snapshot_events(attempts)
-    if partitions:
-        # Keys are unique, so this deals evenly.  The computed key also gives the
-        # exchange plain rows; it cannot take the Arrow rows of the state step.
-        events = events.withColumn("_deal", F.xxhash64("attempt_id", "format")).repartition(partitions, "_deal")
-    # A notice has no texts, hence no diff; it rides along as its own only line.
-    lines = events.mapInPandas(
-        _expand,
-        "kind STRING, attempt_id STRING, provider STRING, format STRING, scraped_at TIMESTAMP_NTZ, "
-        "previous_scraped_at TIMESTAMP_NTZ, seq BIGINT, change STRING, line STRING",
-    )
-    shown = f"substring({text.strip_sql('line')}, 1, {text.CLIP_CHARS})"
-    return lines.where(f"kind <> 'pair' OR {is_listed_sql('change', 'line')}").withColumn("line", F.expr(shown))
+    return attempts.writeStream.foreachBatch(add)
 
 
-def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["kind", "attempt_id", "provider", "format", "scraped_at", "previous_scraped_at", "seq", "change", "line"]
-    for batch in batches:
-        out = []
-        for row in batch.itertuples(index=False):
-            head = (row.kind, row.attempt_id, row.provider, row.format, row.scraped_at, row.previous_scraped_at)
-            if row.kind == "pair":
-                out.extend((*head, *line[:3]) for line in changed_lines(row.prior_content, row.content))
-            else:
-                out.append((*head, None, None, None))
-        yield pd.DataFrame(out, columns=columns)
+def stream_history(attempts: DataFrame, history: History) -> DataStreamWriter:
+    """Writer that only merges: state tables as after a run over all attempts so far."""
+    return attempts.writeStream.foreachBatch(lambda rows, batch: history.add(rows, batch))
+
+
+def run_into(writer: DataStreamWriter, checkpoint: str) -> None:
+    """Everything available now; ``checkpoint`` remembers what has been read."""
+    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
 # --- freshness and trace counts ------------------------------------------------------
 
 
-def stream_dedup(requests: DataFrame, ttl_hours: int = text.CACHE_TTL_HOURS) -> DataFrame:
+class _KeepFirst(StatefulProcessor):
+    """Keeps the time of the provider's last kept request until its life ends."""
+
+    def __init__(self, life: int):
+        self.life = life
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "last BIGINT")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # Two numbers a row: order within a trigger is ours to make.
+        parts = [(frame["us"].to_numpy(np.int64), frame["event_id"].to_numpy(np.int64)) for frame in rows]
+        us, event = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((event, us))
+        us, event = us[order], event[order]
+        before = self.last.get()[0] if self.last.exists() else None
+        at = 0 if before is None else int(np.searchsorted(us, before))
+        kept, last = [], before
+        late = slice(0, at)
+        while True:
+            # The next one kept is the first that its predecessor does not cover.
+            at = at if last is None else int(np.searchsorted(us, last + self.life))
+            if at >= len(us):
+                break
+            kept.append(at)
+            last = int(us[at])
+        if last != before:
+            if before is not None:
+                self.handle.deleteTimer(self._end(before))
+            self.last.update((last,))
+            self.handle.registerTimer(self._end(last))
+        for part, is_late in ((np.array(kept, np.int64), False), (np.arange(len(us))[late], True)):
+            for start in range(0, len(part), 10_000):
+                some = part[start : start + 10_000]
+                yield pd.DataFrame({"provider": key[0], "event_id": event[some], "us": us[some], "late": is_late})
+
+    def _end(self, last: int) -> int:
+        """Milliseconds from which no request of the provider is covered any more."""
+        return -(-(last + self.life) // 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_dedup(requests: DataFrame, ttl_hours: int = text.CACHE_TTL_HOURS, lateness: str = "24 hours") -> DataFrame:
     """Requests that no kept request of the same provider precedes by less than the TTL:
     provider, event_id, ts, late.
 
-    The state is the time of the provider's last kept request; rows are taken in (ts,
-    event_id) order within a trigger, so for input that arrives in order of time the
-    result does not depend on the trigger size.  A request older than the last kept one
-    comes back with ``late`` set and changes no state.
+    The state is the time of the provider's last kept request; a timer clears it when the
+    watermark, which trails the newest request by ``lateness``, has passed the end of its
+    life.  Rows are taken in (ts, event_id) order within a trigger, so for input that arrives
+    in order of time the result does not depend on the trigger size.  A request older than
+    the last kept one comes back with ``late`` set and changes no state; one older than the
+    watermark is dropped, which :func:`run_available` reports as an error.
     """
-    life = int(ttl_hours) * 3_600_000_000
-
-    def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        last = state.get[0] if state.exists else None
-        kept, late = [], []
-        for i, us in enumerate(rows["us"].tolist()):
-            if last is not None and us < last:
-                late.append(i)
-            elif last is None or us - last >= life:
-                kept.append(i)
-                last = us
-        if last is not None:
-            state.update((last,))
-        for at, is_late in ((kept, False), (late, True)):
-            if at:
-                part = rows.iloc[at]
-                yield pd.DataFrame({"provider": key[0], "event_id": part["event_id"], "us": part["us"], "late": is_late})
-
-    rows = requests.select("provider", "event_id", F.unix_micros("ts").alias("us"))
-    out = rows.groupBy("provider").applyInPandasWithState(
-        keep, "provider STRING, event_id BIGINT, us BIGINT, late BOOLEAN", "last BIGINT", "append", GroupStateTimeout.NoTimeout
+    rows = requests.select("provider", "event_id", F.unix_micros("ts").alias("us"), F.col("ts").alias("at"))
+    out = rows.withWatermark("at", lateness).groupBy("provider").transformWithStateInPandas(
+        _KeepFirst(int(ttl_hours) * 3_600_000_000),
+        "provider STRING, event_id BIGINT, us BIGINT, late BOOLEAN",
+        "append",
+        "EventTime",
     )
     return out.select("provider", "event_id", F.timestamp_micros("us").alias("ts"), "late")
 
@@ -172,28 +153,45 @@ def stream_stage_counts(trace: DataFrame, width: str = "1 hour", lateness: str =
     )
 
 
+@contextmanager
+def state_on_disk(spark: SparkSession):
+    """State functions with timers need the RocksDB store; the session's own choice comes back."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is not None:
+            spark.conf.set(_STORE, before)
+
+
 class LateRows(RuntimeError):
     """Rows came behind the watermark and are not in the result."""
 
 
-def run_available(stream: DataFrame, output_mode: str = "append", allow_late: bool = False) -> DataFrame:
+def run_available(
+    stream: DataFrame, output_mode: str = "append", allow_late: bool = False, progress: Callable[[list], None] | None = None
+) -> DataFrame:
     """Run a stream over everything available now, into a new table in the shared
     checkpoint folder, and return that table.
 
     Rows that a watermark dropped make it fail with :class:`LateRows`, unless
-    ``allow_late``: nothing is left out in silence.
+    ``allow_late``: nothing is left out in silence.  ``progress`` gets the triggers' reports.
     """
     spark = stream.sparkSession
     base = shared_path(spark, "stream")
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", f"{base}/table")
-        .option("checkpointLocation", f"{base}/state")
-        .outputMode(output_mode)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    with state_on_disk(spark):
+        query = (
+            stream.writeStream.format("parquet")
+            .option("path", f"{base}/table")
+            .option("checkpointLocation", f"{base}/state")
+            .outputMode(output_mode)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    if progress is not None:
+        progress(query.recentProgress)
     # Counts of the latest triggers (spark.sql.streaming.numRecentProgressUpdates of them).
     dropped = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
     if dropped and not allow_late:

@@ -7,6 +7,7 @@ from test_snapshots import attempts
 
 from tarifflow.operators import changes as ch
 from tarifflow.operators import snapshots as sn
+from tarifflow.operators.history import History
 from tarifflow.streaming import jobs
 
 
@@ -16,29 +17,32 @@ def as_stream(spark, df, folder, batches):
     return jobs.read_folder(spark, folder, spark.read.parquet(folder).schema, files_per_trigger=1)
 
 
-def test_stream_changes_equal_batch(spark, tmp_path):
+_ATTEMPT = ["attempt_id", "provider", "scraped_at", "content_hash", "parts", "success"]
+
+
+def test_stream_changes_equal_batch_and_restart(spark, tmp_path):
+    """Three files, one a trigger; the stream is stopped after two, then goes on; at last it
+    starts anew with a lost checkpoint and finds all batches done."""
     rng = random.Random(4)
     rows = [(rng.choice("ppq"), None if rng.random() < 0.2 else f"head\nA $1.0{rng.randint(0, 3)}\nfoot {rng.randint(0, 1)}") for _ in range(40)]
-    df = attempts(spark, rows, any_html=False).select("attempt_id", "provider", "scraped_at", "content_hash", "parts", "success")
-    stream = as_stream(spark, df, str(tmp_path / "in"), ["attempt_id < 15", "attempt_id BETWEEN 15 AND 29", "attempt_id > 29"])
-    out = jobs.run_available(jobs.stream_changes(stream, partitions=4)).collect()
+    df = attempts(spark, rows, any_html=False).select(*_ATTEMPT).cache()
+    folder, history = str(tmp_path / "in"), History(spark, str(tmp_path / "h"), "INT")
+    parts = ["attempt_id < 15", "attempt_id BETWEEN 15 AND 29", "attempt_id > 29"]
+    first = as_stream(spark, df, folder, parts[:2])
+    jobs.run_into(jobs.stream_changes(first, history), str(tmp_path / "c1"))
+    assert history.attempts().count() == 30
+    stream = as_stream(spark, df, folder, parts[2:])
+    jobs.run_into(jobs.stream_changes(stream, history), str(tmp_path / "c1"))
+    out = history.changes().collect()
     flags = {(r.attempt_id, r.previous_scraped_at) for r in out if r.kind == "flag"}
-    want = {(str(r.attempt_id), r.previous_scraped_at) for r in sn.content_changed(df).where("content_changed").collect()}
+    want = {(r.attempt_id, r.previous_scraped_at) for r in sn.content_changed(df).where("content_changed").collect()}
     assert flags == want and flags
     lines = sorted((r.attempt_id, r.seq, r.change, r.line) for r in out if r.kind == "pair")
     diff = ch.price_changes(ch.line_diff(sn.snapshot_pairs(sn.build_snapshots(df)))).collect()
-    assert lines == sorted((str(r.attempt_id), r.seq, r.change, r.line) for r in diff) and lines
+    assert lines == sorted((r.attempt_id, r.seq, r.change, r.line) for r in diff) and lines
     assert not [r for r in out if r.kind == "late"]
-
-
-def test_late_attempts_are_reported_and_change_nothing(spark, tmp_path):
-    df = attempts(spark, [("p", "A $1.00"), ("p", "A $2.00"), ("p", "A $3.00")], any_html=False).select(
-        "attempt_id", "provider", "scraped_at", "content_hash", "parts"
-    )
-    stream = as_stream(spark, df, str(tmp_path / "in"), ["attempt_id = 1", "attempt_id = 0", "attempt_id = 2"])
-    out = jobs.run_available(jobs.stream_changes(stream)).collect()
-    assert [r.attempt_id for r in out if r.kind == "late"] == ["0"]
-    assert {(r.attempt_id, r.change, r.line) for r in out if r.kind == "pair"} == {("2", "removed", "A $2.00"), ("2", "added", "A $3.00")}
+    jobs.run_into(jobs.stream_changes(stream, history), str(tmp_path / "c2"))
+    assert sorted(map(str, history.changes().collect())) == sorted(map(str, out))
 
 
 def test_stream_dedup(spark, tmp_path):
@@ -46,11 +50,27 @@ def test_stream_dedup(spark, tmp_path):
     rows += [("a", datetime(2024, 1, 2, 0)), ("a", datetime(2024, 1, 2, 23)), ("b", datetime(2024, 1, 2, 4))]
     df = spark.createDataFrame([(p, t, i) for i, (p, t) in enumerate(rows)], "provider STRING, ts TIMESTAMP, event_id LONG")
     stream = as_stream(spark, df, str(tmp_path / "in"), ["event_id < 3", "event_id BETWEEN 3 AND 5", "event_id > 5"])
-    got = jobs.run_available(jobs.stream_dedup(stream)).collect()
+    seen = []
+    got = jobs.run_available(jobs.stream_dedup(stream, lateness="1 hour"), progress=seen.extend).collect()
     assert sorted((r.provider, r.ts) for r in got) == [("a", rows[0][1]), ("a", datetime(2024, 1, 2)), ("b", rows[5][1])]
     assert not any(r.late for r in got)
 
 
+def test_dedup_state_ends(spark, tmp_path):
+    """Providers that are not asked for again leave the state after their life; requests that
+    come out of order within the lateness are reported."""
+    day = datetime(2024, 1, 1)
+    rows = [(f"p{i}", day, i) for i in range(50)] + [("a", day + timedelta(hours=40), 100), ("a", day + timedelta(hours=39), 101), ("a", day + timedelta(hours=41), 102)]
+    rows += [("p1", day + timedelta(hours=90), 200), ("a", day + timedelta(hours=64), 201)]
+    df = spark.createDataFrame(rows, "provider STRING, ts TIMESTAMP, event_id LONG")
+    stream = as_stream(spark, df, str(tmp_path / "in"), ["event_id < 50", "event_id = 100", "event_id IN (101, 102)", "event_id = 200", "event_id = 201"])
+    seen = []
+    got = jobs.run_available(jobs.stream_dedup(stream, lateness="30 hours"), progress=seen.extend).collect()
+    assert sorted((r.event_id, r.late) for r in got) == [(i, False) for i in range(50)] + [(100, False), (101, True), (200, False), (201, False)]
+    state = [op["numRowsTotal"] for p in seen for op in p["stateOperators"]]
+    assert max(state) >= 50 and state[-1] <= 6
+
+
 def test_stage_counts_equal_batch_for_closed_windows(spark, tmp_path):
     start = datetime(2024, 1, 1)
     rows = [(start + timedelta(minutes=7 * i), "DB" if i % 3 else "ANSWER") for i in range(60)]
