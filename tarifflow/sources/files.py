@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..schemas import METADATA_ENTRY
 
+# Bytes of small files that one partition reads.
+PACK_BYTES = 64 << 20
 _NAME = r"^(.*)_((?!prior\.)[^_]+)(_prior)?\.txt$"
 
 
@@ -30,12 +32,46 @@ def load_content_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def load_content(spark: SparkSession, folder: str, metadata: DataFrame) -> DataFrame:
-    """The content each metadata entry lists; a missing file reads as empty."""
+def write_content_files(texts: DataFrame, folder: str) -> None:
+    """One text file per (provider, format), in folders named after them.
+
+    Spark escapes what a path cannot hold, so any name comes back as it was; an empty name
+    comes back as null.  Rows must be unique; what the folder held is replaced.
+    """
+    rows = texts.select("provider", "format", "content")
+    rows.write.mode("overwrite").partitionBy("provider", "format").text(folder)
+
+
+def load_content_folders(spark: SparkSession, folder: str, pack_bytes: int = PACK_BYTES) -> DataFrame:
+    """The files of :func:`write_content_files`, whole, with their size and time.
+
+    Small files are packed: partitions are merged, without a shuffle, until each holds
+    about ``pack_bytes``, but never to fewer than there are cores.
+    """
+    files = (
+        spark.read.schema("value STRING, provider STRING, format STRING")
+        .format("text")
+        .option("wholetext", True)
+        .load(folder)
+        .select("provider", "format", "value", F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_modification_time").alias("file_time"))
+    )
+    total = files.agg(F.sum("file_size")).first()[0] or 0
+    packed = files.coalesce(max(spark.sparkContext.defaultParallelism, -(-total // pack_bytes)))
+    # The writer ends every file with one line end of its own.
+    content = text.read_text_sql("regexp_replace(value, '\\n\\\\z', '')")
+    return packed.select("provider", "format", F.expr(content).alias("content"), "file_size", "file_time")
+
+
+def load_content(spark: SparkSession, folder: str, metadata: DataFrame, folders: bool = False) -> DataFrame:
+    """The content each metadata entry lists; a missing file reads as empty.  ``folders``
+    says that the files are those of :func:`write_content_files`."""
     wanted = metadata.where("content_files IS NOT NULL").select(
         F.col("provider_name").alias("provider"), F.explode("content_files").alias("format", "file")
     )
-    stored = load_content_files(spark, folder).where("NOT is_prior").drop("is_prior")
+    if folders:
+        stored = load_content_folders(spark, folder)
+    else:
+        stored = load_content_files(spark, folder).where("NOT is_prior").drop("is_prior")
     return (
         wanted.join(stored, ["provider", "format"], "left")
         .withColumn("content", F.coalesce("content", F.lit("")))

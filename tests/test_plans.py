@@ -137,3 +137,40 @@ def test_features_of_any_kind_and_repeated_keys(spark):
     same = lambda x: x.replace(": ", ":")  # noqa: E731  objects are written without blanks
     assert {k: same(v) for k, v in got.items() if k != "last"} == {str(i): same(json.dumps(v)) for i, v in enumerate(values)}
     assert [r.company_name for r in rows if r.plan_name == "last"] == ["New"]
+
+
+def test_append_reads_the_files_it_meets(spark, plans_table):
+    """Answers come in order: a batch of 1 % of the keys reads one file in fifty."""
+    def batch(n):
+        rows = spark.range(100 * n, 100 * n + 100).selectExpr("format_string('a%08d', id) AS answer_id", "0 AS pos", "'C' AS company_name", "'p' AS plan_name")
+        kinds = {f.name: f.dataType for f in spark.table(plans_table).schema}
+        return rows.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in rows.columns and c != "id"})
+
+    for n in range(12):
+        tb.append_plans(batch(n).coalesce(1), plans_table)
+    tb.append_plans(batch(5), plans_table)  # delivered again
+    spark.catalog.refreshTable(plans_table)
+    ids = [r.id for r in spark.table(plans_table).orderBy("answer_id").collect()]
+    assert ids == list(range(1200))
+    keys = tb.stored_keys(spark.table(plans_table), batch(7))
+    assert sorted(r.answer_id for r in keys.collect()) == [f"a{i:08d}" for i in range(700, 800)]
+    plan = keys._jdf.queryExecution().executedPlan()
+    keys._jdf.queryExecution().executedPlan().execute().count()
+    leaf = plan.collectLeaves().head()
+    assert leaf.metrics().apply("numOutputRows").value() <= 2 * 100
+
+
+def test_sql_reads_only(spark):
+    spark.range(5).createOrReplaceTempView("guarded")
+    assert workspace.sql(spark, "SELECT id FROM guarded WHERE id > :low ORDER BY id DESC; ", low=2).collect() == [(4,), (3,)]
+    assert workspace.sql(spark, "WITH x AS (SELECT 1 AS a) SELECT a FROM x -- end").collect() == [(1,)]
+    assert workspace.sql(spark, "VALUES (1), (2)").count() == 2
+    refused = [
+        "DROP VIEW guarded", "CREATE VIEW w AS SELECT 1", "CREATE TABLE t AS SELECT 1", "INSERT INTO guarded VALUES (9)", "SET spark.x = 1",
+        "TRUNCATE TABLE guarded", "SELECT 1; DROP VIEW guarded", "SELECT 1) t; DROP VIEW guarded --", "", "ADD JAR 'x.jar'", "REFRESH TABLE guarded",
+        "BEGIN DROP VIEW guarded; END", "WITH x AS (SELECT 1) INSERT INTO guarded SELECT * FROM x", "SELECT reflect('java.lang.System', 'exit', 1)",
+    ]
+    for statement in refused:
+        with pytest.raises(workspace.NotAQuery):
+            workspace.sql(spark, statement)
+    assert spark.table("guarded").count() == 5
