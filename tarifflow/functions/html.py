@@ -82,7 +82,8 @@ def visible_text(html: str) -> str:
 
 
 @F.pandas_udf(StringType())
-def _parsed_text(pages: pd.Series) -> pd.Series:
+def page_text(pages: pd.Series) -> pd.Series:
+    """Text of arbitrary pages, by the parser alone."""
     return pages.map(lambda page: None if page is None else visible_text(page))
 
 
@@ -91,7 +92,7 @@ def with_html_text(df: DataFrame, html: str, out: str) -> DataFrame:
     stay in the JVM; only the others are handed to Python (the rest travel as
     nulls).  The test for that is a column of its own, so it runs once."""
     marked = df.withColumn("_plain", F.expr(text.html_is_plain_sql(html)))
-    parsed = _parsed_text(F.when(~F.col("_plain"), F.col(html)))
+    parsed = page_text(F.when(~F.col("_plain"), F.col(html)))
     native = F.when(F.col("_plain"), text.html_to_text(html))
     return marked.withColumn(out, F.coalesce(parsed, native)).drop("_plain")
 

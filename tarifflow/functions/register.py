@@ -2,6 +2,8 @@
 
 Each one becomes a temporary SQL function whose body is a plain expression, so
 Catalyst inlines it: filters still push down and code generation still applies.
+``html_to_text`` and ``clean_content`` are the native chain, for plain pages; for
+arbitrary ones there is ``page_text``, the parser as a vectorized function.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from . import text
+from .html import page_text
 
 # name -> (parameters, return type, body)
 SQL_FUNCTIONS: dict[str, tuple[str, str, str]] = {
@@ -38,4 +41,5 @@ def register(spark: SparkSession) -> list[str]:
     """Create (or replace) the temporary SQL functions; returns their names."""
     for name, (params, returns, body) in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {returns} RETURN {body}")
-    return list(SQL_FUNCTIONS)
+    spark.udf.register("page_text", page_text)
+    return [*SQL_FUNCTIONS, "page_text"]

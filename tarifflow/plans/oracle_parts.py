@@ -3,8 +3,17 @@ not from the Spark expressions."""
 
 from __future__ import annotations
 
+from html import entities, unescape
+
 from ..functions import text
 
+# Every named character reference of HTML 4, from the standard library's table and not from
+# the code's own, in the closed and (where HTML allows it) the open form; decimal and
+# hexadecimal forms of printable ASCII signs.  The sign that starts references comes last.
+_NUMBERS = [f"&#{code};" for code in range(33, 127)] + [f"&#x{code:x};" for code in range(33, 127)]
+_NAMES = [f"&{name};" for name in entities.name2codepoint] + [f"&{name}" for name in entities.html5 if not name.endswith(";")]
+_REFERENCES = [(ref, unescape(ref)) for ref in sorted([*_NAMES, "&apos;", *_NUMBERS], key=lambda ref: (-len(ref), ref)) if unescape(ref) not in ("&", ref)]
+
 
 def q(value: str) -> str:
     """String literal; characters outside printable ASCII go through chr()."""
@@ -35,7 +44,7 @@ def html_text(x: str) -> str:
     # No back-references in this dialect: one alternative per dropped tag.
     dropped = "|".join(rf"<{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in ("script", "style", "noscript", "svg"))
     bare = f"regexp_replace({x}, '{dropped}|<!--.*?-->|<[!/?]?[a-z][^>]*>', chr(1), 'gis')"
-    for ref, ch in {**text.ENTITIES, **text.OPEN_ENTITIES}.items():
+    for ref, ch in _REFERENCES:
         bare = f"replace({bare}, {q(ref)}, {q(ch)})"
     decoded = f"regexp_replace({bare}, '&amp;?', '&', 'g')"
     nodes = f"list_transform(string_split({decoded}, chr(1)), lambda n: {strip('n')})"

@@ -35,6 +35,18 @@ def html_to_text(spark, sf_dir):
     return with_html_text(table(spark, sf_dir, "pages"), "html", "text").select("page_id", "text")
 
 
+@query(
+    "page_text",
+    f"SELECT page_id, sha256({O.clean_html('html')}) AS hash FROM pages WHERE contains(html, '&') OR contains(html, '<svg')",
+)
+def page_text(spark, sf_dir):
+    """The parser as a SQL function, over pages with references or drawings."""
+    from .workspace import open_tables, sql
+
+    open_tables(spark, {"pages": table(spark, sf_dir, "pages")})
+    return sql(spark, "SELECT page_id, content_hash(normalize_ws(page_text(html))) AS hash FROM pages WHERE contains(html, '&') OR contains(html, '<svg')")
+
+
 @query("normalize_ws", f"SELECT doc_id, {O.normalize('text')} AS text FROM documents")
 def normalize_ws(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.normalize_ws("text").alias("text"))

@@ -135,3 +135,22 @@ def test_icon_rich_page_takes_linear_time(spark):
     page = "<p>a</p>" + "<svg><path d='M0 0'></path></svg> icon " * 20_000
     row = spark.createDataFrame([(page,)], "h STRING").select(F.expr(X.html_is_plain_sql("h")).alias("plain")).first()
     assert row.plain
+
+
+def test_oracle_text_depends_on_no_table_of_the_code(monkeypatch):
+    """Without one of the code's references the comparison SQL still decodes it."""
+    from tarifflow.plans import oracle_parts
+
+    before = oracle_parts.html_text("html")
+    monkeypatch.setattr(X, "ENTITIES", {})
+    monkeypatch.setattr(X, "OPEN_ENTITIES", {})
+    assert oracle_parts.html_text("html") == before and "&hellip;" in before
+
+
+def test_page_text_as_sql_function(spark):
+
+    assert "page_text" in register(spark)
+    pages = ['<p title="a>b">x &frac12; y</p>', "<template>no</template>yes <b>$0.59</b>x", "", "<![CDATA[z]]> &#8364;5"]
+    spark.createDataFrame(list(enumerate(pages)), "i INT, page STRING").createOrReplaceTempView("odd_pages")
+    got = spark.sql("SELECT page_text(page) AS t FROM odd_pages ORDER BY i").collect()
+    assert [r.t for r in got] == [visible_text(p) for p in pages]
