@@ -1,9 +1,11 @@
 """Phrase collocations from n-gram counts kept as ordered streams.
 
-Counting goes up by phrase length.  A phrase can only be frequent if both phrases one
-word shorter inside it are, so each pass over the texts tests these in a filter of fixed
-size and counts the others not at all.  False hits of the filter cost time only: what is
-counted is counted exactly, by its words.
+Counting goes up by phrase length, in passes over the texts.  A phrase can only be
+frequent if all shorter phrases inside it are, so each pass tests these in a filter of
+fixed size and counts the others not at all.  The filter for pairs and triples is made
+of their hashes, counted as numbers: a hash occurs at least as often as each of its
+phrases.  False hits of a filter cost time only: what passes is counted exactly, by its
+words.
 
 The frequent phrases of all lengths of a language are then one stream.  In prefix order
 each phrase stands directly behind its own prefixes, in suffix order behind its own
@@ -32,13 +34,15 @@ from .common import LOWER, UPPER, stage
 MIN_COUNT = 100
 MAX_WORDS = 5
 TOP = 2_000
-# Phrase lengths counted together; each pass tests phrases by those of the pass before.
-PASSES = ((1,), (2,), (3,), (4, 5))
+# Each pass: lengths counted by words, length counted by hashes, length of the phrases in
+# the filter, which is made of the hashes of the pass before (of the words' at first).
+PASSES = (((1,), 0, 0), ((), 2, 1), ((2,), 3, 2), ((3, 4, 5), 0, 3))
 # Bits of the filter: 4 MB, whatever the number of phrases.
 FILTER_BITS = 1 << 25
-# Words of one language that are counted together, and phrases kept before they are sent on.
-CHUNK_WORDS = 3_000_000
-KEPT_PHRASES = 300_000
+# Words that are counted together; phrases and hashes kept before they are sent on.
+CHUNK_WORDS = 1_500_000
+KEPT_PHRASES = 200_000
+KEPT_HASHES = 2_000_000
 _SALTS = 64
 
 _SPLITS = b".,;:!?\n\x0b\x0c\r"
@@ -85,37 +89,42 @@ def _same(codes: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarra
 class Counts:
     """Partial counts of one task; what it holds is bounded, what it yields may repeat."""
 
-    def __init__(self, lengths: Sequence[int], seen: np.ndarray | None):
-        self.lengths, self.seen = lengths, seen
+    def __init__(self, lengths: Sequence[int], hashed: int, order: int, seen: np.ndarray | None):
+        self.lengths, self.hashed, self.order, self.seen = lengths, hashed, order, seen
         self.codes, self.hashes = Codes(), [np.uint64(0)]
         self.waiting: dict[str, list[np.ndarray]] = {}
-        self.words = Counter()
+        self.words = 0
         self.found: Counter = Counter()
         self.hash_of: dict = {}
+        self.numbers: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, lang: str, text: bytes) -> Iterator[pa.RecordBatch]:
         words = tokens(text)
         self.waiting.setdefault(lang, []).append(np.fromiter(map(self.codes.__getitem__, [*words, _END]), np.int32, len(words) + 1))
-        self.words[lang] += len(words) + 1
-        if self.words.total() >= CHUNK_WORDS:
+        self.words += len(words) + 1
+        if self.words >= CHUNK_WORDS:
             yield from self.flush()
 
-    def flush(self) -> Iterator[pa.RecordBatch]:
+    def flush(self, last: bool = False) -> Iterator[pa.RecordBatch]:
         names = list(self.codes)
-        known = len(self.hashes)
-        self.hashes.extend(np.uint64(xxhash.xxh64_intdigest(w)) for w in names[known:])
+        self.hashes.extend(np.uint64(xxhash.xxh64_intdigest(w)) for w in names[len(self.hashes) :])
         hashes = np.array(self.hashes, np.uint64)
         for lang, parts in self.waiting.items():
             self._count(lang, np.concatenate(parts), names, hashes)
         self.waiting.clear()
-        self.words.clear()
+        self.words = 0
         if len(self.codes) > KEPT_PHRASES:
             self.codes, self.hashes = Codes(), [np.uint64(0)]
-        if len(self.found) > KEPT_PHRASES:
-            yield self.done()
+        if last or len(self.found) > KEPT_PHRASES:
+            yield self._phrases()
+        if sum(len(h) for h, _ in self.numbers) > KEPT_HASHES or last:
+            self._merge()
+            if last or len(self.numbers[0][0]) > KEPT_HASHES // 2:
+                yield self._numbers()
 
     def _count(self, lang: str, codes: np.ndarray, names: list[bytes], hashes: np.ndarray) -> None:
-        """Phrases that the filter lets through; ``rolling[k]`` hashes the k words from each place on."""
+        """``rolling`` hashes the k words from each place on; ``may`` tells where all phrases
+        of the filter's length inside these words are in the filter."""
         inside = codes != 0
         if 1 in self.lengths:
             self.found[lang, b""] += int(inside.sum())
@@ -123,37 +132,55 @@ class Counts:
         word_hash = hashes[codes]
         with np.errstate(over="ignore"):
             rolling = np.full(len(codes), np.uint64(xxhash.xxh64_intdigest(lang.encode())))
-            valid = np.ones(len(codes), bool)
-            may = None
-            for k in range(1, max(self.lengths) + 1):
+            may = np.ones(len(codes), bool)
+            for k in range(1, max([*self.lengths, self.hashed]) + 1):
                 n = len(codes) - k + 1
                 if n <= 0:
                     break
                 rolling = rolling[:n] * _FACTOR + word_hash[k - 1 :]
-                valid = valid[:n] & inside[k - 1 :]
-                if k in self.lengths:
-                    starts = np.flatnonzero(valid if may is None else valid & may)
+                may = (may[:n] if k <= self.order else may[:-1] & may[1:]) & inside[k - 1 :] if k > 1 else inside
+                if k == self.order:
+                    may = may & self._hits(rolling)
+                starts = np.flatnonzero(may) if k in self.lengths or k == self.hashed else ()
+                if len(starts) and k == self.hashed:
+                    self.numbers.append(np.unique(rolling[starts], return_counts=True))
+                elif len(starts):
                     self._note(lang, codes, names, rolling, starts, k)
-                if self.seen is not None:  # what the next length may hold
-                    if k < min(self.lengths):
-                        may = self._hits(rolling) if k == min(self.lengths) - 1 else None
-                    if may is not None and len(may) > 1:
-                        may = may[:-1] & may[1:]
 
     def _hits(self, rolling: np.ndarray) -> np.ndarray:
         at = _spots(rolling)
         return (self.seen[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
     def _note(self, lang: str, codes: np.ndarray, names: list[bytes], rolling: np.ndarray, starts: np.ndarray, length: int) -> None:
-        if not len(starts):
+        if length == 1:
+            count = np.bincount(codes[starts])
+            for c in np.flatnonzero(count).tolist():
+                self.found[lang, names[c]] += int(count[c])
+            place = np.zeros(len(count), np.int64)
+            place[codes[starts]] = starts
+            self.hash_of.update(((lang, names[c]), rolling[place[c]]) for c in np.flatnonzero(count).tolist())
             return
         first, count = _same(codes, starts, length)
         for at, n in zip(first.tolist(), count.tolist(), strict=True):
-            key = lang, b" ".join([names[c] for c in codes[at : at + length].tolist()]) if length > 1 else names[codes[at]]
+            key = lang, b" ".join([names[c] for c in codes[at : at + length].tolist()])
             self.found[key] += n
             self.hash_of[key] = rolling[at]
 
-    def done(self) -> pa.RecordBatch:
+    def _merge(self) -> None:
+        if not self.numbers:
+            self.numbers = [(np.empty(0, np.uint64), np.empty(0, np.int64))]
+        keys, counts = (np.concatenate(x) for x in zip(*self.numbers, strict=True))
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+        self.numbers = [(keys[first], np.add.reduceat(counts, first) if len(first) else counts)]
+
+    def _numbers(self) -> pa.RecordBatch:
+        (keys, counts), self.numbers = self.numbers[0], []
+        none = pa.nulls(len(keys), pa.string())
+        return pa.RecordBatch.from_arrays([none, none, pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=_COUNTED)
+
+    def _phrases(self) -> pa.RecordBatch:
         keys = list(self.found)
         batch = pa.RecordBatch.from_arrays(
             [
@@ -162,27 +189,30 @@ class Counts:
                 pa.array(np.array([self.hash_of[k] for k in keys], np.uint64).view(np.int64)),
                 pa.array([self.found[k] for k in keys], pa.int64()),
             ],
-            names=["lang", "phrase", "hash", "n"],
+            names=_COUNTED,
         )
         self.found, self.hash_of = Counter(), {}
         return batch
 
 
-def _counted(texts: DataFrame, lengths: Sequence[int], seen: np.ndarray | None, least: int) -> DataFrame:
+_COUNTED = ["lang", "phrase", "hash", "n"]
+
+
+def _counted(texts: DataFrame, lengths: Sequence[int], hashed: int, order: int, seen: np.ndarray | None, least: int) -> DataFrame:
     """(lang, phrase, hash, n) of phrases of ``lengths`` words with ``least`` occurrences or
-    more.  The first pass adds the empty phrase, whose count is that of all words."""
+    more; hashes of ``hashed`` words without language and phrase.  Counting words adds the
+    empty phrase, whose count is that of all words."""
     shared = None if seen is None else texts.sparkSession.sparkContext.broadcast(seen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(lengths, None if shared is None else shared.value)
+        counts = Counts(lengths, hashed, order, None if shared is None else shared.value)
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 yield from counts.add(lang, text.as_py())
-        yield from counts.flush()
-        yield counts.done()
+        yield from counts.flush(last=True)
 
     partial = texts.mapInArrow(run, "lang string, phrase string, hash long, n long")
-    summed = partial.groupBy("lang", "phrase").agg(F.first("hash").alias("hash"), F.sum("n").alias("n"))
+    summed = partial.groupBy("lang", "phrase", "hash").agg(F.sum("n").alias("n"))
     return stage(summed.where((F.col("n") >= least) | (F.col("phrase") == "")))
 
 
@@ -207,14 +237,14 @@ def frequent(docs: DataFrame, least: int = MIN_COUNT, *, text: str = "text", lan
     and per language the empty phrase with the count of all words."""
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
     seen, out = None, None
-    for lengths in PASSES:
-        found = _counted(texts, lengths, seen, least)
-        words = F.when(F.col("phrase") == "", F.array().cast("array<string>")).otherwise(F.split("phrase", " "))
-        found = found.withColumn("words", words)
-        part = found.select("lang", "words", "n")
-        out = part if out is None else out.unionByName(part)
-        if lengths != PASSES[-1]:
-            seen = _filter_of(found.where(F.size("words") == max(lengths)))
+    for lengths, hashed, order in PASSES:
+        found = _counted(texts, lengths, hashed, order, seen, least)
+        if lengths:
+            words = F.when(F.col("phrase") == "", F.array().cast("array<string>")).otherwise(F.split("phrase", " "))
+            part = found.where("phrase IS NOT NULL").select("lang", words.alias("words"), "n")
+            out = part if out is None else out.unionByName(part)
+        if hashed or not order:
+            seen = _filter_of(found.where("phrase IS NULL" if hashed else "phrase <> ''"))
     return out
 
 
