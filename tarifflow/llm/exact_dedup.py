@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import ascii_lower, bloom_hits, bloom_of, clashing, skew_join, stage
@@ -75,8 +76,9 @@ def _joined(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFra
 
 
 def _one_row(candidates: DataFrame, id_col: str) -> DataFrame:
-    """``_first``: the row is the first of those with this text and id."""
-    order = Window.partitionBy("text_sha256", id_col).orderBy(F.lit(0))
+    """``_first``: the row is the first of those with this text and id, the same on every run."""
+    plain = [f.name for f in candidates.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    order = Window.partitionBy("text_sha256", id_col).orderBy(F.xxhash64(*plain))
     return candidates.withColumn("_first", F.row_number().over(order) == 1)
 
 
