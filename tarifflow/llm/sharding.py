@@ -9,8 +9,10 @@ most BUCKETS sums per node to narrow the interval.
 
 A group larger than HEAVY of a shard's target would make a median jump.  There are
 at most shards / HEAVY of those; they are given to the emptiest shards first and
-the medians leave room for them.  A group too large for that (more than a quarter of
-a target) is cut into pieces by document.
+the medians leave room for them.  A group that fits no shard whole beside the larger ones
+is cut into pieces by document.
+
+A number is its own coordinate, any other value its rank among the distinct values.
 
 Defined cases: a null text has no bytes (size 1); null metadata sorts first; ids are
 only carried, so null and repeated ids and repeated rows are placed like any other
@@ -25,6 +27,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from tarifflow.operators.ordered import durable
 
 from .common import clashing, gapless_rank, skew_join, stage
 
@@ -44,13 +49,42 @@ def size_of(text: str = "text") -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
-def _coordinate(df: DataFrame, name: str) -> Column:
-    """A number that sorts like the column: its value, or a string's first six bytes."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.NumericType):
+def _is_number(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, T.NumericType)
+
+
+def _value(df: DataFrame, name: str) -> Column:
+    """What a dimension is ordered by; null sorts first."""
+    if _is_number(df, name):
         return F.coalesce(F.nanvl(F.col(name).cast("double"), F.lit(0.0)), F.lit(0.0))
-    head = F.rpad(F.hex(F.substring(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary"), 1, 6)), 12, "0")
-    return F.conv(head, 16, 10).cast("double")
+    return F.coalesce(F.concat(F.lit("v"), F.col(name).cast("string")), F.lit(""))
+
+
+def _ranked(groups: DataFrame, name: str, rows: int) -> DataFrame:
+    """The column's values replaced by their rank among its distinct values, as a double.
+
+    The distinct values are sorted in ranges; a range's rows are numbered from the number of
+    rows before it, which is one small row a range."""
+    values = durable(groups.groupBy(name).agg(F.count(F.lit(1)).alias("_n")).orderBy(name).withColumn("_part", F.spark_partition_id()).withColumn("_no", F.monotonically_increasing_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = values.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    starts = starts.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
+    place = (F.col("_start") + F.col("_no").bitwiseAND(F.lit((1 << 33) - 1))).cast("double")
+    values = values.join(F.broadcast(starts), "_part").select(name, "_n", place.alias("_place"))
+    return skew_join(groups, values, name, "_n", rows, F.col("_key")).drop("_n", name).withColumnRenamed("_place", name)
+
+
+def _cut(big: Sequence, shards: int, target: float) -> list[int]:
+    """Keys of the large groups that fit no shard whole beside those placed before them,
+    the largest first; what is cut fills the gaps that the others leave."""
+    load, cut = [0.0] * shards, []
+    for r in sorted(big, key=lambda r: (-r["_bytes"], r["_key"])):
+        s = min(range(shards), key=lambda i: (load[i], i))
+        if load[s] + r["_bytes"] > target:
+            cut.append(r["_key"])
+        else:
+            load[s] += r["_bytes"]
+    return cut
 
 
 def _spots(points: DataFrame, dims: int) -> DataFrame:
@@ -146,15 +180,20 @@ def place(
     spark, dims = docs.sparkSession, len(dimensions)
     docs = docs.withColumns({"_size": F.col(size) if size else size_of(text), "_key": F.col(group) if group else group_of(text)})
     docs = clashing(docs, RESULTS).withColumnRenamed("_size", "size")
-    coords = [_coordinate(docs, d) for d in dimensions]
+    values = [_value(docs, d) for d in dimensions]
     groups = stage(
-        docs.groupBy("_key").agg(F.count(F.lit(1)).alias("_docs"), F.sum("size").alias("_bytes"), *[F.min(c).alias(f"_c{d}") for d, c in enumerate(coords)])
+        docs.groupBy("_key").agg(F.count(F.lit(1)).alias("_docs"), F.sum("size").alias("_bytes"), *[F.min(c).alias(f"_c{d}") for d, c in enumerate(values)])
     )
-    rows, total = groups.agg(F.sum("_docs"), F.sum("_bytes")).first()
+    n_groups, rows, total = groups.agg(F.count(F.lit(1)), F.sum("_docs"), F.sum("_bytes")).first()
     target = (total or 0) / shards
-    # Groups in pieces: at most PIECE of a target each, by whole documents.
+    for d, name in enumerate(dimensions):
+        if not _is_number(docs, name):
+            groups = _ranked(groups, f"_c{d}", n_groups)
+    # Large groups that fit nowhere whole, at most PIECE of a target a piece, by whole documents.
+    big = groups.where(F.col("_bytes") > PIECE * target).select("_key", "_bytes", "_docs").collect()  # at most shards / PIECE
+    cut = _cut(big, shards, target)
     pieces = F.greatest(F.lit(1), F.least(F.col("_docs"), F.ceil(F.col("_bytes") / F.lit(max(1.0, PIECE * target))))).cast("int")
-    points = groups.withColumn("_pieces", pieces)
+    points = groups.withColumn("_pieces", F.when(F.col("_key").isin(cut), pieces).otherwise(1) if cut else F.lit(1))
     points = points.withColumn("_piece", F.explode(F.expr("sequence(0, _pieces - 1)")))
     points = points.withColumn("_bytes", F.expr("_bytes div _pieces"))
     heavy = points.where(F.col("_bytes") > HEAVY * target).select("_key", "_piece", "_docs", "_bytes").collect()  # at most shards / HEAVY
