@@ -14,6 +14,7 @@ the rows, not on partitions or retries.
 from __future__ import annotations
 
 import string
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ END_ID = 2
 GROUP_DOCS = 5_000
 TOKENIZER = "word_bpe_49k.json"
 # Ids of this many distinct chunks, twice over, are remembered per worker.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 # Longer chunks are tokenized each time they occur.
 LONG_CHUNK = 64
 # Closing punctuation that the tokenizer splits from a letter before it (it treats ' apart).
@@ -44,6 +45,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes.
 
@@ -72,11 +78,11 @@ class Encoder:
         for c in chunks:
             if c.isalpha() and max(c) < _LATIN and _DOTTED not in c:
                 word = c if c.isascii() else c.encode().decode("latin-1").translate(self.bytes)
-                out[c] = np.array([t.id for t in tokenize(word)], "<u4").tobytes()
+                out[c] = _packed([t.id for t in tokenize(word)])
             else:
                 rest.append(c)
         got = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else []
-        return out | {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(rest, got, strict=True)}
+        return out | {c: _packed(e.ids) for c, e in zip(rest, got, strict=True)}
 
     def _parts(self, chunk: str) -> tuple[str, str]:
         """Letters (Latin ones in lower case) and closing punctuation, or the chunk as it is."""
@@ -90,10 +96,12 @@ class Encoder:
         """Remember ``chunks``; those too long to remember are returned."""
         known, before = self.known, self.before
         long = [c for c in chunks if len(c) > LONG_CHUNK]  # as they are: never split or lower-cased
-        short = {c for c in chunks if len(c) <= LONG_CHUNK}
-        taken = {c: before[c] for c in short if c in before}
-        known.update(taken)
-        parts = {c: self._parts(c) for c in short.difference(taken)}
+        short = {c for c in chunks if len(c) <= LONG_CHUNK} if long else chunks
+        if before:
+            taken = {c: before[c] for c in short if c in before}
+            known.update(taken)
+            short = short.difference(taken)
+        parts = {c: self._parts(c) for c in short}
         new = {p for two in parts.values() for p in two if p not in known}
         if new:
             known.update({p: before[p] for p in new if p in before})
