@@ -17,6 +17,7 @@ import string
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ GROUP_DOCS = 5_000
 TOKENIZER = "word_bpe_49k.json"
 # Ids of this many distinct chunks, twice over, are remembered per worker.
 REMEMBERED = 700_000
+# Of these, the first ones (mostly the common words) outlive a task in their worker.
+KEPT = 300_000
 # Longer chunks are tokenized each time they occur.
 LONG_CHUNK = 64
 # Closing punctuation that the tokenizer splits from a letter before it (it treats ' apart).
@@ -113,6 +116,12 @@ class Encoder:
         got = self.tokenizer.encode_batch_fast(long, add_special_tokens=False)
         return {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(long, got, strict=True)}
 
+    def rest(self) -> None:
+        """Give back what the next task can learn again."""
+        self.before = {}
+        if len(self.known) > KEPT:
+            self.known = dict(islice(self.known.items(), KEPT))
+
     def encode(self, text: str) -> bytes:
         chunks = text.replace("\n", " ").split(" ")
         if missing := set(chunks).difference(self.known):
@@ -188,7 +197,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, *, id_col: str
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        worker = encoder(path)
+        encode = worker.encode
         for batch in batches:
             out: list[tuple] = []
             for row, doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -199,6 +209,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, *, id_col: str
                     out.append((doc, start, len(part) // 4, zlib.crc32(part), total, row))
             cols = list(zip(*out, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[*PIECE_NAMES, ROW])
+        worker.rest()
 
     row = F.monotonically_increasing_id().alias(ROW)
     return docs.select(row, F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"{PIECES}, {ROW} long")

@@ -188,7 +188,7 @@ def place(
     target = (total or 0) / shards
     for d, name in enumerate(dimensions):
         if not _is_number(docs, name):
-            groups = _ranked(groups, f"_c{d}", n_groups)
+            groups = stage(_ranked(groups, f"_c{d}", n_groups))
     # Large groups that fit nowhere whole, at most PIECE of a target a piece, by whole documents.
     big = groups.where(F.col("_bytes") > PIECE * target).select("_key", "_bytes", "_docs").collect()  # at most shards / PIECE
     cut = _cut(big, shards, target)
