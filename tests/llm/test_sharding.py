@@ -1,22 +1,8 @@
-"""The k-d tree on a small table against a direct one, and groups of equal texts."""
-
-from collections import defaultdict
+"""The k-d tree on a small table against a direct one."""
 
 from tarifflow.llm import sharding
 
 
-def test_common_heads_are_told_apart(spark):
-    """Sources that differ behind a long common head: each split is between two of them."""
-    docs = spark.range(8000).selectExpr("id AS doc_id", "concat('t', lpad(id, 6, '0')) AS text", "concat('common_crawl_', id % 16) AS source")
-    got = sharding.place(docs, 4, ("source",)).collect()
-    shards = defaultdict(set)
-    for r in got:
-        shards[r["source"]].add(r["shard"])
-    # A direct tree over equal weights: sources in order, four to a shard.
-    order = sorted(shards)
-    assert [shards[s] for s in order] == [{i // 4} for i in range(16)]
-
-
 def test_tree_equals_a_direct_one(spark):
     """Distinct numbers: halves at the weighted median along the widest dimension."""
     docs = spark.range(8000).selectExpr("id AS doc_id", "concat('t', lpad(id, 6, '0')) AS text", "CAST((id * 37) % 8000 AS DOUBLE) AS x", "CAST((id * 101) % 8000 AS DOUBLE) / 2 AS y")
@@ -35,20 +21,3 @@ def test_tree_equals_a_direct_one(spark):
     # fall a few documents beside the middle.
     same = [sum(got[i] == shard for i, shard in tree(list(points), [0, 1, 2, 3], first).items()) for first in (0, 1)]
     assert max(same) >= 7960
-
-
-def test_groups_stay_whole_while_they_fit(spark):
-    """A group of 0.6 of a shard stays whole, one of two shards does not; sizes stay even."""
-    small = spark.range(4000).selectExpr("id AS doc_id", "concat('text number ', lpad(id, 7, '0')) AS text")
-    fits = spark.range(700).selectExpr("10000 + id AS doc_id", "'copied text, twenty.' AS text")
-    large = spark.range(2400).selectExpr("20000 + id AS doc_id", "'another copied text.' AS text")
-    docs = small.unionByName(fits).unionByName(large)
-    got = sharding.place(docs, 8, ("doc_id",)).collect()
-    shards, sizes = defaultdict(set), defaultdict(int)
-    for r in got:
-        shards[r["text"]].add(r["shard"])
-        sizes[r["shard"]] += r["size"]
-    assert len(shards["copied text, twenty."]) == 1 and len(shards["another copied text."]) > 1
-    # The pieces of the large group are dealt by a hash, a few hundred rows each.
-    assert max(sizes.values()) <= 1.08 * min(sizes.values())
-    assert sum(len(s) > 1 for s in shards.values()) == 1
