@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.window import Window
 
 from ..functions import text
-from .ordered import SPLIT_ROWS
-from .snapshots import build_snapshots, content_changed, latest_per_provider, snapshot_pairs
+from .ordered import SPLIT_ROWS, OrderedScan, stage
+from .snapshots import content_changed, latest_per_provider, snapshot_pairs
 
 _PAIR = ["attempt_id", "provider", "format", "scraped_at"]
 
@@ -21,12 +22,16 @@ def line_diff(pairs: DataFrame) -> DataFrame:
     (longest-block matching; lines keep their newline).  ``at`` is the line's place in
     the text it belongs to, from 0: the prior one if removed, the current one if added.
 
-    The matching has no SQL form, so it runs in Arrow batches, one pair per row:
-    pairs are independent, and a text is bounded by the stored-text cap.
+    The matching has no SQL form, so it runs in Python, one pair per row: pairs are
+    independent, and a text is bounded by the stored-text cap.
     """
-    key_fields = ", ".join(f"{pairs.schema[c].name} {pairs.schema[c].dataType.simpleString()}" for c in _PAIR)
-    out = f"{key_fields}, seq BIGINT, change STRING, line STRING, at BIGINT"
-    return pairs.select(*_PAIR, "prior_content", "content").mapInPandas(_diff_batches, out)
+    return pairs.select(*_PAIR, F.inline(_steps("prior_content", "content")))
+
+
+# Rows go to Python a hundred at a time: an Arrow batch holds thousands of them, and a
+# worker's memory would grow with the rows of its partition up to that number.
+_STEP = StructType().add("seq", "long").add("change", "string").add("line", "string").add("at", "long")
+_steps = F.udf(lambda old, new: [] if old is None else list(changed_lines(old, new)), ArrayType(_STEP), useArrow=False)
 
 
 def _lines(value: str) -> list[str]:
@@ -48,16 +53,6 @@ def changed_lines(old_text: str, new_text: str) -> Iterator[tuple[int, str, str,
                 seq += 1
 
 
-def _diff_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = [
-            (row.attempt_id, row.provider, row.format, row.scraped_at, *line)
-            for row in batch.itertuples(index=False)
-            for line in changed_lines(row.prior_content, row.content)
-        ]
-        yield pd.DataFrame(out, columns=[*_PAIR, "seq", "change", "line", "at"])
-
-
 def apply_diff(pairs: DataFrame, diff: DataFrame) -> DataFrame:
     """The current text of each pair as ``rebuilt``, from its prior text and its diff.
 
@@ -98,21 +93,23 @@ def line_diff_net(pairs: DataFrame, price_lines_only: bool = False) -> DataFrame
     number of lines (and its logarithm), however few of them the sides share.
     """
 
-    def lines(column: str):
-        every = text.lines_keep_ends_sql(column)
-        # Only a property both sides share may filter here: whether a line is
-        # taken for a header depends on the sign of its net change.
-        return F.expr(f"filter({every}, l -> {text.is_price_like_sql('l')})" if price_lines_only else every)
-
+    lines = [_lines_sql(c, price_lines_only) for c in ("prior_content", "content")]
     # Equal sides yield nothing.  Tested here and not in a filter, which would be
     # pushed into the join below and split and match every line a second time.
     return (
-        pairs.select(*_PAIR, lines("prior_content").alias("_old"), lines("content").alias("_new"))
+        pairs.select(*_PAIR, F.expr(lines[0]).alias("_old"), F.expr(lines[1]).alias("_new"))
         .select(*_PAIR, F.inline(F.expr(f"IF(_old = _new, array(), {_net_sql('_old', '_new')})")))
         .withColumn("change", F.expr("IF(net > 0, 'added', 'removed')"))
     )
 
 
+def _lines_sql(column: str, price_lines_only: bool) -> str:
+    every = text.lines_keep_ends_sql(column)
+    # Only a property both sides share may filter here: whether a line is
+    # taken for a header depends on the sign of its net change.
+    return f"filter({every}, l -> {text.is_price_like_sql('l')})" if price_lines_only else every
+
+
 def _net_sql(old: str, new: str) -> str:
     """Structs (line, net) of the lines whose numbers differ; one side must hold a line.
 
@@ -159,12 +156,12 @@ def pricing_changes(
     report as it stood after every attempt.  ``exact`` lists lines in diff order;
     otherwise the native net form is used, with ``n`` copies per line.
     """
-    if snapshots is None:
-        snapshots = build_snapshots(attempts, stored=True)
     if providers is not None:
         wanted = providers.select("provider").distinct()
         attempts = attempts.join(wanted, "provider", "left_semi")
-        snapshots = snapshots.join(wanted, "provider", "left_semi")
+        snapshots = snapshots if snapshots is None else snapshots.join(wanted, "provider", "left_semi")
+    if snapshots is None:
+        return _report(attempts, latest_only, exact, split_rows)
     flags = content_changed(attempts, split_rows)
     only = None
     if latest_only:
@@ -180,6 +177,74 @@ def pricing_changes(
     return change_report(flags, changes)
 
 
+def _report(attempts: DataFrame, latest_only: bool, exact: bool, split_rows: int) -> DataFrame:
+    """The report from attempts alone.  Rows are put in order of their provider once,
+    with their texts; flags, prior texts and diffs are made where they then lie, so no
+    join moves a text or a changed line again.
+
+    Rows of equal provider, time and id are copies of one attempt.  Joins by attempt, as
+    :func:`change_report` has them, list its changes for every copy, of its own text, of
+    the prior text and of the attempt itself; so does this.
+    """
+    head = ["attempt_id", "provider", "scraped_at"]
+    order = ["scraped_at", "attempt_id"]
+    parts = F.expr("transform(parts, p -> named_struct('format', p.format, 'content', p.content)) AS _parts")
+    scan = OrderedScan(attempts.select(*head, "success", "content_hash", parts), ["provider"], order, split_rows=split_rows)
+    scan = scan.lag("_before", "content_hash", "scraped_at")
+    if latest_only:
+        scan = scan.whole_max("_last", F.struct(*order))
+    changed = F.coalesce(F.col("_before.content_hash") != F.col("content_hash"), F.lit(False))
+    newest = F.struct(*order).eqNullSafe(F.col("_last")) if latest_only else F.lit(True)
+    rows = scan.frame().where("success").select(
+        *head, changed.alias("content_changed"), F.when(changed, F.col("_before.scraped_at")).alias("previous_scraped_at"),
+        newest.alias("_wanted"), F.posexplode_outer("_parts").alias("_pos", "_part"),
+    )
+    rows = rows.select(*[c for c in rows.columns if c != "_part"], "_part.format", "_part.content")
+    # Where no provider is hot no format of one is, and rows stay in their partitions.
+    cold = scan.hot is None
+    rows = rows if cold else stage(rows)
+    copies = Window.partitionBy("provider", "format", "scraped_at", "attempt_id")
+    rows = rows.withColumn("_copies", F.count(F.lit(1)).over(copies))
+    scan = OrderedScan(rows, ["provider", "format"], order, split_rows=split_rows, cold=cold).lag("_prior", "content", "_copies")
+    rows = scan.frame().where("_wanted").withColumns({"prior_content": F.col("_prior.content"), "_times": F.col("_prior._copies")}).drop("_prior")
+    differs = "prior_content IS NOT NULL AND prior_content <> content"
+    if exact:
+        steps = _steps(*[F.when(F.expr(differs), F.col(c)) for c in ("prior_content", "content")])
+        listed = rows.withColumn("_steps", steps).withColumn("_steps", F.expr(
+            f"transform(filter(_steps, s -> {is_listed_sql('s.change', 's.line')}), s -> named_struct('seq', s.seq, 'change', s.change, 'line', s.line, 'n', 1L))"
+        ))
+    else:
+        sides = {"_old": F.expr(f"IF({differs}, {_lines_sql('prior_content', True)}, array())"), "_new": F.expr(f"IF({differs}, {_lines_sql('content', True)}, array())")}
+        net = f"IF(_old = _new, array(), {_net_sql('_old', '_new')})"
+        signed = f"transform({net}, c -> named_struct('seq', CAST(NULL AS BIGINT), 'change', IF(c.net > 0, 'added', 'removed'), 'line', c.line, 'n', abs(c.net)))"
+        listed = rows.withColumns(sides).withColumn("_steps", F.expr(f"filter({signed}, s -> {is_no_header_sql('s.change', 's.line')})"))
+    listed = listed.select(*head, "previous_scraped_at", "content_changed", "_pos", "_copies", "_times", "format", "_steps")
+    # An attempt's changes count together: with none in any format only its flag is a row.
+    attempt = Window.partitionBy("provider", "scraped_at", "attempt_id")
+    own = F.coalesce(F.size("_steps"), F.lit(0))
+    listed = listed.withColumns({
+        "_any": F.max(own).over(attempt) > 0,
+        "_flag": F.max(F.struct("content_changed", "previous_scraped_at")).over(attempt),
+    })
+    shown = f"substring({text.strip_sql('s.line')}, 1, {text.CLIP_CHARS})"
+    steps = f"transform(_steps, s -> named_struct('format', format, 'seq', s.seq, 'change', s.change, 'line', {shown}, 'n', s.n, 'times', _copies * _times))"
+    none = "named_struct('format', CAST(NULL AS STRING), 'seq', CAST(NULL AS BIGINT), 'change', CAST(NULL AS STRING), 'line', CAST(NULL AS STRING), 'n', CAST(NULL AS BIGINT), 'times', 1L)"
+    out = listed.select(
+        *head, "previous_scraped_at", "content_changed", "_any", "_flag", "_copies",
+        F.inline(F.expr(f"CASE WHEN _any THEN {steps} WHEN content_changed AND coalesce(_pos, 0) = 0 THEN array({none}) END")),
+    )
+    # Of an attempt's copies the first one alone can have changed.
+    each = out.withColumn("_copy", F.explode(F.expr("sequence(1L, IF(_any, _copies, 1L))")))
+    each = each.withColumn("_time", F.explode(F.expr("sequence(1L, times)")))
+    first = F.expr("NOT _any OR _copy = 1")
+    return each.select(
+        *head,
+        F.when(F.col("_any"), F.when(first, F.col("_flag.previous_scraped_at"))).otherwise(F.col("previous_scraped_at")).alias("previous_scraped_at"),
+        F.when(F.col("_any"), first & F.col("_flag.content_changed")).otherwise(F.col("content_changed")).alias("content_changed"),
+        "format", "seq", "change", "line", "n",
+    )
+
+
 def change_report(flags: DataFrame, changes: DataFrame) -> DataFrame:
     details = changes.select("attempt_id", "format", "seq", "change", "line", "n")
     return (

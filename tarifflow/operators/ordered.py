@@ -10,7 +10,9 @@ their measured size:
   is computed by itself, one summary row per (key, chunk) is combined over the
   chunks before it, and the carried value is added back.
 
-The list of hot keys is found with a partial aggregation on the key columns only.
+Hot keys are looked for in two steps on the key columns only: rows are counted in a
+fixed number of buckets of key hashes, which moves a few bytes per bucket and task, and
+keys by name only within buckets that hold more than ``split_rows`` rows.
 Chunk numbers are stored with the rows by a reliable ``checkpoint()``, so a lost
 executor cannot change them half way.  The order columns must identify a row
 within its key, otherwise ties would be resolved differently on each attempt.
@@ -31,6 +33,8 @@ SPLIT_ROWS = 1_000_000
 # Carry and hot-key tables (narrow rows) up to this size are broadcast; beyond it
 # the join is left to the optimizer.
 BROADCAST_ROWS = 200_000
+# Buckets of key hashes that rows are counted in before keys are.
+HASH_BUCKETS = 1 << 14
 _CHUNK = "_chunk"
 _GLOBAL = "_all"
 
@@ -64,10 +68,11 @@ def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back.
 
     For results that several later steps read: unlike a row checkpoint, the files
-    are columnar, so a step that needs three narrow columns reads no texts.
+    are columnar, so a step that needs three narrow columns reads no texts.  They are
+    packed with zstd: texts and hexadecimal hashes take half of what snappy leaves.
     """
     path = shared_path(df.sparkSession, "stage")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -86,6 +91,7 @@ class OrderedScan:
 
     Every method returns a new scan with one more column; :meth:`frame` gives the
     finished DataFrame.  ``keys`` may be empty, which means one global order.
+    ``cold`` says that no key can be hot, so that ``df`` is not read to find out.
     """
 
     def __init__(
@@ -96,15 +102,15 @@ class OrderedScan:
         *,
         descending: bool = False,
         split_rows: int = SPLIT_ROWS,
+        cold: bool = False,
     ):
         self.keys = list(keys) or [_GLOBAL]
         self.order_names = list(order)
         self.descending = descending
         if not keys:
             df = df.withColumn(_GLOBAL, F.lit(0))
-        sizes = df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > split_rows)
-        sizes = durable(sizes)
-        n_hot, rows = sizes.agg(F.count(F.lit(1)), F.sum("_n")).first()
+        sizes = None if cold else self._sizes(df, split_rows)
+        n_hot, rows = (0, 0) if sizes is None else sizes.agg(F.count(F.lit(1)), F.sum("_n")).first()
         self._settled, self._n_hot = True, n_hot
         if n_hot == 0:
             self.cold, self.hot = df, None
@@ -122,6 +128,17 @@ class OrderedScan:
 
     # -- building blocks -------------------------------------------------------
 
+    def _sizes(self, df: DataFrame, split_rows: int) -> DataFrame | None:
+        """Keys of more than ``split_rows`` rows with their number; none if no bucket of
+        hashes, and so no key, has that many."""
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(HASH_BUCKETS))
+        counts = df.select(*self.keys, bucket.alias("_bucket"))
+        full = counts.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > split_rows).select("_bucket").collect()
+        if not full:
+            return None
+        named = counts.where(F.col("_bucket").isin([r[0] for r in full])).groupBy(*self.keys)
+        return durable(named.agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > split_rows))
+
     def _same(self, prefix: str, extra: Sequence[str] = ()) -> Column:
         """Null-safe equality of the keys with their renamed copies."""
         return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in (*self.keys, *extra)])
@@ -199,6 +216,20 @@ class OrderedScan:
     def running_min(self, name: str, value: Column) -> "OrderedScan":
         return self._running(name, value, F.min, F.least)
 
+    def whole_max(self, name: str, value: Column) -> "OrderedScan":
+        """The largest value of the whole key, on each of its rows."""
+
+        def whole(w):
+            return w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+        return self._scan(
+            name,
+            lambda w: F.max(value).over(whole(w)),
+            F.max(value),
+            lambda w: F.max("_summary").over(whole(w)),
+            lambda inside, carried: carried,
+        )
+
     def _running(self, name, value, aggregate, merge) -> "OrderedScan":
         def upto(w):
             return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -61,3 +61,17 @@ def test_stage_and_spread_keep_rows(spark):
     staged = stage(df)
     assert staged.schema.simpleString() == df.schema.simpleString()
     assert staged.count() == 100 and spread(df).count() == 100
+
+
+def test_no_key_is_moved_by_name_where_no_bucket_is_full(spark):
+    df = spark.range(5000).selectExpr("IF(id % 3 = 0, 'hot', concat('k', id)) AS k", "id AS t")
+    scan = OrderedScan(df, ["k"], ["t"], split_rows=5000)
+    assert scan.hot is None and scan._sizes(df, 5000) is None
+    assert {tuple(r) for r in scan._sizes(df, 500).collect()} == {("hot", 1667)}
+
+
+@pytest.mark.parametrize("split_rows", [500, 10**6])
+def test_whole_max(spark, split_rows):
+    df = spark.range(3000).selectExpr("IF(id % 2 = 0, 'hot', concat('k', id)) AS k", "id AS t")
+    rows = OrderedScan(df, ["k"], ["t"], split_rows=split_rows).whole_max("m", F.col("t")).frame().collect()
+    assert len(rows) == 3000 and all(r.m == (2998 if r.k == "hot" else r.t) for r in rows)

@@ -219,3 +219,31 @@ def test_upsert_keeps_first_place(spark):
     ]
     latest = sn.latest_per_provider(attempts(spark, [("p", "x"), ("p", None), ("q", "y")]).select("provider", "attempt_id", "scraped_at", "success"))
     assert [r.provider for r in sn.successful(latest).collect()] == ["q"]
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_report_moves_attempts_once(spark, exact):
+    df = attempts(spark, [("p", "A $1.00"), ("p", "A $2.00"), ("q", "B $1.00")], any_html=False)
+    for latest_only in (False, True):
+        # Behind Python rows count as unordered: diffs, not texts, move once more.
+        assert exchanges(ch.pricing_changes(df, latest_only=latest_only, exact=exact)) == 1 + exact
+
+
+def test_report_lists_copies_of_an_attempt_as_joins_do(spark):
+    df = attempts(spark, [("p", "A $1.00", ["markdown", "html"]), ("p", "A $2.00\nB $3.00", ["markdown", "html"]), ("p", "x"), ("q", "x"), ("q", "y")])
+    twice = df.unionByName(df.where("attempt_id IN (0, 1, 4)"))
+    for exact, rows in ((a, r) for a in (True, False) for r in (df, twice)):
+        for latest_only in (True, False):
+            args = {"latest_only": latest_only, "exact": exact}
+            got = ch.pricing_changes(rows, **args)
+            want = ch.pricing_changes(rows, snapshots=sn.build_snapshots(rows), **args).select(*got.columns)
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_diff_takes_few_pairs_at_a_time(spark):
+    plan = ch.line_diff(pairs(spark, [("a", "b")]))._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "InPandas" not in plan
