@@ -174,3 +174,34 @@ def test_sql_reads_only(spark):
         with pytest.raises(workspace.NotAQuery):
             workspace.sql(spark, statement)
     assert spark.table("guarded").count() == 5
+
+
+def test_quarantine_makes_each_answer_once(spark):
+    from conftest import SF_SMALL
+
+    from tarifflow.plans.catalogue import QUERIES
+
+    plan = QUERIES["extraction_quarantine"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
+
+
+def test_only_objects_are_answers(spark):
+    texts = ['{"plans": []}', ' \t\r\n{"a": 1}', "```json\n{}\n```", "[]", '[{"a": 1}]', '"{}"', "1", "null", "{", "", None, "\x0b{}"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i INT, response STRING")
+    assert {r.i for r in ex.parse_answers(rows).where("doc IS NOT NULL").collect()} == {0, 1, 2}
+
+
+def test_one_answer_query_stores_nothing(spark):
+    import os
+
+    from conftest import SF_SMALL
+
+    from tarifflow.operators.ordered import ensure_checkpoint_dir
+    from tarifflow.plans.catalogue import QUERIES
+
+    ensure_checkpoint_dir(spark)
+    where = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(where))
+    for name in ("latest_plans", "compare_providers", "recent_plans"):
+        assert QUERIES[name](spark, SF_SMALL).count() > 0
+    assert set(os.listdir(where)) == before
