@@ -51,6 +51,45 @@ def test_content_files(spark, tmp_path):
     assert listed == {"cloud_markdown.txt": 10, "cloud_markdown_prior.txt": 7, "cloud_html.txt": 3000}
 
 
+TEXTS = [("a/b %41= é", "html", "x\r\ny\n"), ("a/b %41= é", "markdown", "# é"), ("none", "html", None), ("empty", "html", "")]
+
+
+def test_content_packs_hold_many_texts_in_few_files(spark, tmp_path):
+    """Files grow with the bytes, not with the number of texts; names and texts come back."""
+    where = str(tmp_path / "packs")
+    many = TEXTS + [(f"p{i}", "html", f"text {i}") for i in range(500)]
+    texts = spark.createDataFrame(many, "provider STRING, format STRING, content STRING").coalesce(2)
+    fl.write_content_packs(texts, where)
+    assert len(list((tmp_path / "packs").rglob("*.parquet"))) <= 2
+    rows = {(r.provider, r.format): (r.content, r.file_size, r.file_time) for r in fl.load_content_packs(spark, where).collect()}
+    assert len(rows) == len(many) and all(time for _, _, time in rows.values())
+    assert rows["a/b %41= é", "html"][:2] == ("x\ny\n", 5) and rows["a/b %41= é", "markdown"][:2] == ("# é", 4)
+    assert rows["none", "html"][:2] == rows["empty", "html"][:2] == ("", 0)
+    meta = spark.createDataFrame([("p7", {"html": "p7"}), ("gone", {"html": "g"}), ("none", {"html": "n"})], "provider_name STRING, content_files MAP<STRING, STRING>")
+    got = {r.provider: (r.content, r.file_size) for r in fl.load_content(spark, where, meta, packs=True).collect()}
+    assert got == {"p7": ("text 7", 6), "gone": ("", None), "none": ("", 0)}
+
+
+def test_content_folders_hold_one_file_per_text(spark, tmp_path):
+    where = str(tmp_path / "folders")
+    fl.write_content_files(spark.createDataFrame(TEXTS[:2], "provider STRING, format STRING, content STRING"), where)
+    rows = {(r.provider, r.format): r.content for r in fl.load_content_folders(spark, where).collect()}
+    assert rows == {("a/b %41= é", "html"): "x\ny\n", ("a/b %41= é", "markdown"): "# é"}
+    assert len(list((tmp_path / "folders").rglob("*.txt"))) == 2
+
+
+def test_load_content_query_makes_no_file_per_page(spark, tmp_path, monkeypatch):
+    from tarifflow.plans import snapshot_queries as sq
+
+    pages = spark.range(1, 401).selectExpr("id AS page_id", "concat('https://x.example/', id) AS url", "concat('<p>', id, '</p>') AS html")
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr(sq, "shared_path", lambda spark, kind: f"{tmp_path}/{kind}")
+    rows = {r.provider: (r.content, r.has_file) for r in sq.load_content(spark, str(tmp_path)).collect()}
+    assert len(rows) == 400 and rows["a/b %41=7 é"] == ("<p>7</p>", True) and rows["a/b %41=13 é"] == ("", False)
+    stored = [p for p in (tmp_path / "content").rglob("*") if p.suffix in (".txt", ".parquet")]
+    assert 0 < len(stored) <= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_resolve_by_name_url_domain(spark, tmp_path):
     meta = fl.load_metadata(spark, f"{folder(tmp_path)}/scraped_metadata.json")
     asked = ["cloud", "https://www.cloud.example/inference", "www.cloud.example", "docs.cloud.example", "Cloud", "nope"]
