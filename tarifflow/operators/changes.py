@@ -32,6 +32,7 @@ def line_diff(pairs: DataFrame) -> DataFrame:
 # worker's memory would grow with the rows of its partition up to that number.
 _STEP = StructType().add("seq", "long").add("change", "string").add("line", "string").add("at", "long")
 _steps = F.udf(lambda old, new: [] if old is None else list(changed_lines(old, new)), ArrayType(_STEP), useArrow=False)
+_all_steps = F.udf(lambda texts: [step for old, new in texts for step in changed_lines(old, new)], ArrayType(_STEP), useArrow=False)
 
 
 def _lines(value: str) -> list[str]:
@@ -60,9 +61,35 @@ def apply_diff(pairs: DataFrame, diff: DataFrame) -> DataFrame:
     texts it was made from, so it is one array per pair.
     """
     steps = diff.groupBy("attempt_id", "format").agg(F.collect_list(F.struct("change", "at", "line")).alias("_steps"))
+    joined = pairs.select("attempt_id", "format", "prior_content").join(steps, ["attempt_id", "format"], "left")
+    return _rebuild(joined).select("attempt_id", "format", "rebuilt")
+
+
+def rebuilt_pairs(pairs: DataFrame) -> DataFrame:
+    """Of every pair with a line that differs: attempt_id, format, the current text as
+    ``rebuilt`` from the prior text and the ordered diff, and ``in_order``, whether the diff
+    lists the lines of either side in order.
+
+    The diff stays an array beside its pair, so neither texts nor lines are stored or moved
+    for it.  Pairs of equal attempt and format share their steps, as in :func:`apply_diff`.
+    """
+    pair = Window.partitionBy("attempt_id", "format")
+    # Texts are gathered and not steps: rows still lie by attempt after the join that made
+    # them, and Spark does not know that they do after a Python function.
+    texts = F.collect_list(F.struct("prior_content", "content")).over(pair)
+    made = pairs.select("attempt_id", "format", "prior_content", texts.alias("_texts"))
+    rows = made.select("attempt_id", "format", "prior_content", _all_steps("_texts").alias("_steps"))
+    ats = "transform(array_sort(transform(filter(_steps, s -> s.change = '{}'), s -> struct(s.seq, s.at))), s -> s.at)"
+    sides = [ats.format(change) for change in ("removed", "added")]
+    in_order = " AND ".join(f"transform(array({x}), v -> v = array_sort(v))[0]" for x in sides)
+    return _rebuild(rows.where("size(_steps) > 0")).select("attempt_id", "format", "rebuilt", F.expr(in_order).alias("in_order"))
+
+
+def _rebuild(rows: DataFrame) -> DataFrame:
+    """Adds ``rebuilt``, made of ``prior_content`` and ``_steps`` (null: no line differs)."""
     lines = F.expr(text.lines_keep_ends_sql("prior_content"))
-    joined = pairs.select("attempt_id", "format", lines.alias("_old")).join(steps, ["attempt_id", "format"], "left")
-    parts = joined.withColumns({
+    parts = rows.withColumns({
+        "_old": lines,
         "_gone": F.expr("transform(filter(_steps, s -> s.change = 'removed'), s -> s.at)"),
         "_new": F.expr("array_sort(transform(filter(_steps, s -> s.change = 'added'), s -> struct(s.at, s.line)))"),
     })
@@ -73,7 +100,7 @@ def apply_diff(pairs: DataFrame, diff: DataFrame) -> DataFrame:
         transform(coalesce(_new, array()), (s, n) -> concat(
           array_join(slice(_kept, IF(n = 0, 0, _before[n - 1]) + 1, _before[n] - IF(n = 0, 0, _before[n - 1])), ''), s.line)),
         array(array_join(slice(_kept, IF(size(_before) = 0, 0, element_at(_before, -1)) + 1, size(_kept)), '')))"""
-    return before.select("attempt_id", "format", F.array_join(F.expr(pieces), "").alias("rebuilt"))
+    return before.withColumn("rebuilt", F.array_join(F.expr(pieces), ""))
 
 
 def is_no_header_sql(change: str, line: str) -> str:

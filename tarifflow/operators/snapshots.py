@@ -163,9 +163,10 @@ def snapshot_pairs(
     prior = snapshots.select(
         F.col("attempt_id").alias("prior_attempt_id"), "format", F.col("content").alias("prior_content")
     )
+    # By attempt last: its pairs then lie together, and steps by attempt move no text again.
     return (
-        differing.join(current, ["attempt_id", "format"])
-        .join(prior, ["prior_attempt_id", "format"])
+        differing.join(prior, ["prior_attempt_id", "format"])
+        .join(current, ["attempt_id", "format"])
         .select("attempt_id", "provider", "format", "scraped_at", "content", "prior_content")
     )
 

@@ -164,6 +164,27 @@ def test_prior_text_and_diff_give_the_current_text(spark, text_pairs):
     assert got == {i: new.replace("\r\n", "\n").replace("\r", "\n") for i, (_, new) in enumerate(text_pairs)}
 
 
+def test_rebuilt_pairs_moves_no_text_for_the_diff(spark):
+    """Texts rebuilt beside their pairs equal those of apply_diff, and the plan moves rows
+    for the joins of the texts and for the order of providers alone."""
+    base = [(1, "a\nb\nc\n"), (2, "b\nc\nd"), (3, "b\nc\nd"), (4, ""), (5, "x\nx\ny"), (6, "y\nx\nx\n")]
+    rows = [(i, p, "markdown", datetime(2024, 1, i), f"{t}{p}" if t else "") for p in ("p", "q") for i, t in base]
+    rows = [(i + 10 * (p == "q"), p, *rest) for i, p, *rest in rows]
+    stored = spark.createDataFrame(rows, "attempt_id BIGINT, provider STRING, format STRING, scraped_at TIMESTAMP_NTZ, content STRING")
+    pairs = sn.snapshot_pairs(stored.withColumn("text_hash", F.sha2("content", 256)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rebuilt = ch.rebuilt_pairs(pairs)
+        moves = rebuilt._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        got = {r.attempt_id: (r.rebuilt, r.in_order) for r in rebuilt.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = {r.attempt_id: (r.content, True) for r in pairs.collect()}
+    assert got == want and len(got) == 8
+    assert {r.attempt_id: r.rebuilt for r in ch.apply_diff(pairs, ch.line_diff(pairs)).collect()} == {k: v for k, (v, _) in got.items()}
+    assert moves == 5
+
+
 def test_net_diff_needs_no_exchange(spark, text_pairs):
     plan = ch.line_diff_net(pairs(spark, text_pairs), price_lines_only=True)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
