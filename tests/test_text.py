@@ -154,3 +154,29 @@ def test_page_text_as_sql_function(spark):
     spark.createDataFrame(list(enumerate(pages)), "i INT, page STRING").createOrReplaceTempView("odd_pages")
     got = spark.sql("SELECT page_text(page) AS t FROM odd_pages ORDER BY i").collect()
     assert [r.t for r in got] == [visible_text(p) for p in pages]
+
+
+def test_html_text_takes_no_step_per_node(spark):
+    """A page's text is cut by one pattern, whatever its number of nodes; texts stay the same."""
+    cases = {
+        "<p>a</p> \t<b>\xa0</b><i> b  c </i>　": "a b  c",
+        "a\x01\x01 b<br/>\n&amp;lt; &ampx &nbsp;<p>&nbsp;</p>&copy z": "a b &lt; &x © z",
+        "T &amp; f<!-- <script> --><script>q</p></script><p>1 left": "T & f 1 left",
+        "&am<b>p;": "&am p;", "": "", " \x1c ": "",
+    }
+    rows = spark.createDataFrame([(h,) for h in [*cases, None]], "h STRING").select("h", X.html_to_text("h").alias("t"))
+    assert {r.h: r.t for r in rows.collect()} == {**cases, None: None}
+    assert "filter(" not in X.html_to_text_sql("h") and "split(" not in X.html_to_text_sql("h")
+
+
+def test_runs_of_blanks(spark):
+    cases = {"a b": "a b", "a\tb": "a b", "a \tb": "a b", "a\t b  c": "a b c", "a\n \nb": "a\n \nb", "a\n\n\n\n b": "a\n\n b"}
+    rows = spark.createDataFrame([(h,) for h in cases], "h STRING").select("h", X.normalize_ws("h").alias("t"))
+    assert {r.h: r.t for r in rows.collect()} == cases
+
+
+def test_hundredths_equal_rounding(spark):
+    from tarifflow.plans.derived import hundredths
+
+    cents = spark.range(-20_000, 20_000).selectExpr("id / 100D AS x").union(spark.sql("SELECT explode(array(0.125D, -0.125D, 0.045D, 12345.675D, NULL))"))
+    assert cents.where(f"NOT ({hundredths('x')} <=> CAST(round(x * 100) AS BIGINT))").count() == 0
