@@ -1,6 +1,8 @@
 import random
 from datetime import datetime, timedelta
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from test_snapshots import attempts
@@ -8,6 +10,7 @@ from test_snapshots import attempts
 from tarifflow.operators import changes as ch
 from tarifflow.operators import snapshots as sn
 from tarifflow.operators.history import History
+from tarifflow.plans.derived import stream_table
 from tarifflow.streaming import jobs
 
 
@@ -86,6 +89,15 @@ def test_stage_counts_equal_batch_for_closed_windows(spark, tmp_path):
     assert {(r.window_start, r.stage): r.events for r in got} == want
 
 
+def test_a_table_of_one_file_streams_on_all_cores(spark, tmp_path):
+    pq.write_table(pa.table({"id": range(1000)}), str(tmp_path / "lines.parquet"))
+    seen = []
+    stream = stream_table(spark, str(tmp_path), "lines")
+    writer = stream.writeStream.foreachBatch(lambda rows, _: seen.append((rows.rdd.getNumPartitions(), rows.count())))
+    jobs.run_into(writer, str(tmp_path / "c"))
+    assert seen == [(spark.sparkContext.defaultParallelism, 1000)]
+
+
 def test_rows_do_not_depend_on_the_number_of_files(spark, tmp_path):
     start = datetime(2024, 1, 1)
     df = spark.createDataFrame([(start + timedelta(minutes=7 * i), "DB") for i in range(60)], "ts TIMESTAMP, stage STRING")
