@@ -136,7 +136,8 @@ def _net_sql(old: str, new: str) -> str:
 
     ``transform(array(x), v -> ...)[0]`` names a value once: v is all lines in order, the
     old copies of a line before its new ones; r the runs of equal entries with their
-    lengths.  Every step reads its array once, by place.
+    lengths.  Every step reads its array once, by place.  Where no side has a line twice, the
+    lines that the other one lacks are looked up instead.
     """
     both = f"array_sort(concat(transform({old}, l -> named_struct('line', l, 'sign', -1L)), transform({new}, l -> named_struct('line', l, 'sign', 1L))))"
     starts = "filter(sequence(0, size(v) - 1), i -> i = 0 OR v[i] <> v[i - 1])"
@@ -146,7 +147,10 @@ def _net_sql(old: str, new: str) -> str:
     total = "r[k].net + IF(get(r, k + 1).line = r[k].line, r[k + 1].net, 0L)"
     heads = "filter(sequence(0, size(r) - 1), k -> k = 0 OR r[k].line <> r[k - 1].line)"
     nets = f"transform(array({runs}), r -> transform({heads}, k -> named_struct('line', r[k].line, 'net', {total})))[0]"
-    return f"filter(transform(array({both}), v -> {nets})[0], c -> c.net <> 0)"
+    counted = f"filter(transform(array({both}), v -> {nets})[0], c -> c.net <> 0)"
+    lacked = ", ".join(f"transform(array_except({a}, {b}), l -> named_struct('line', l, 'net', {n}))" for a, b, n in ((old, new, "-1L"), (new, old, "1L")))
+    single = " AND ".join(f"size(array_distinct({x})) = size({x})" for x in (old, new))
+    return f"IF({single}, concat({lacked}), {counted})"
 
 
 def price_lines(column: str) -> Column:
@@ -228,7 +232,10 @@ def _report(attempts: DataFrame, latest_only: bool, exact: bool, split_rows: int
     """
     head = ["attempt_id", "provider", "scraped_at"]
     order = ["scraped_at", "attempt_id"]
-    parts = F.expr("transform(parts, p -> named_struct('format', p.format, 'content', p.content)) AS _parts")
+    # Without their order, price lines are all that is compared: they are cut out of a text
+    # once, for both pairs it is in, and move in its place.
+    content = "p.content" if exact else _lines_sql("p.content", True)
+    parts = F.expr(f"transform(parts, p -> named_struct('format', p.format, 'content', {content})) AS _parts")
     scan = OrderedScan(attempts.select(*head, "success", "content_hash", parts), ["provider"], order, split_rows=split_rows)
     scan = scan.lag("_before", "content_hash", "scraped_at")
     if latest_only:
@@ -247,16 +254,15 @@ def _report(attempts: DataFrame, latest_only: bool, exact: bool, split_rows: int
     rows = rows.withColumn("_copies", F.count(F.lit(1)).over(copies))
     scan = OrderedScan(rows, ["provider", "format"], order, split_rows=split_rows, cold=cold).lag("_prior", "content", "_copies")
     rows = scan.frame().where("_wanted").withColumns({"prior_content": F.col("_prior.content"), "_times": F.col("_prior._copies")}).drop("_prior")
-    differs = "prior_content IS NOT NULL AND prior_content <> content"
+    differs = "coalesce(prior_content <> content, false)"
     if exact:
         steps = _steps(*[F.when(F.expr(differs), F.col(c)) for c in ("prior_content", "content")])
         listed = rows.withColumn("_steps", steps).withColumn("_steps", F.expr(
             f"transform(filter(_steps, s -> {is_listed_sql('s.change', 's.line')}), s -> named_struct('seq', s.seq, 'change', s.change, 'line', s.line, 'n', 1L))"
         ))
     else:
-        sides = {"_old": F.expr(f"IF({differs}, {_lines_sql('prior_content', True)}, array())"), "_new": F.expr(f"IF({differs}, {_lines_sql('content', True)}, array())")}
-        net = f"IF(_old = _new, array(), {_net_sql('_old', '_new')})"
-        listed = rows.withColumns(sides).withColumn("_steps", F.expr(_listed_steps_sql(net)))
+        net = f"IF({differs}, {_net_sql('prior_content', 'content')}, array())"
+        listed = rows.withColumn("_steps", F.expr(_listed_steps_sql(net)))
     listed = listed.select(*head, "previous_scraped_at", "content_changed", "_pos", "_copies", "_times", "format", "_steps")
     # An attempt's changes count together: with none in any format only its flag is a row.
     attempt = Window.partitionBy("provider", "scraped_at", "attempt_id")
@@ -273,9 +279,8 @@ def _report(attempts: DataFrame, latest_only: bool, exact: bool, split_rows: int
         F.inline(F.expr(f"CASE WHEN _any THEN {steps} WHEN content_changed AND coalesce(_pos, 0) = 0 THEN array({none}) END")),
     )
     # Of an attempt's copies the first one alone can have changed.
-    each = out.withColumn("_copy", F.explode(F.expr("sequence(1L, IF(_any, _copies, 1L))")))
-    each = each.withColumn("_time", F.explode(F.expr("sequence(1L, times)")))
-    first = F.expr("NOT _any OR _copy = 1")
+    each = out.withColumn("_copy", F.explode(F.expr("sequence(1L, IF(_any, _copies, 1L) * times)")))
+    first = F.expr("NOT _any OR _copy <= times")
     return each.select(
         *head,
         F.when(F.col("_any"), F.when(first, F.col("_flag.previous_scraped_at"))).otherwise(F.col("previous_scraped_at")).alias("previous_scraped_at"),

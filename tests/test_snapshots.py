@@ -260,6 +260,19 @@ def test_report_moves_attempts_once(spark, exact):
         assert exchanges(ch.pricing_changes(df, latest_only=latest_only, exact=exact)) == 1 + exact
 
 
+def test_report_cuts_price_lines_before_texts_move(spark):
+    """Each text is matched once, not once for every pair it is in, and below the exchange."""
+    rows = [("p", "x\nA $1.00\nA $1.00"), ("p", "x\nA $1.00\nB $2.00"), ("p", "y\nB $2.00\nA $1.00"), ("p", ""), ("p", "++ $1.00\n-- $2.00")]
+    df = attempts(spark, rows, any_html=False).localCheckpoint()
+    report = ch.pricing_changes(df, latest_only=False, exact=False)
+    plan = report._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("per[") == 1
+    sign = F.expr("CASE change WHEN 'added' THEN n WHEN 'removed' THEN -n END")
+    netted, want = ({tuple(r) for r in x.groupBy("attempt_id", "line").agg(F.sum(sign).alias("net")).where("line IS NULL OR net <> 0").collect()}
+                    for x in (report, ch.pricing_changes(df, latest_only=False, exact=True)))
+    assert netted == want and len(want) > 4
+
+
 def test_report_lists_copies_of_an_attempt_as_joins_do(spark):
     df = attempts(spark, [("p", "A $1.00", ["markdown", "html"]), ("p", "A $2.00\nB $3.00", ["markdown", "html"]), ("p", "x"), ("q", "x"), ("q", "y")])
     twice = df.unionByName(df.where("attempt_id IN (0, 1, 4)"))
