@@ -12,6 +12,7 @@ from tarifflow.operators import changes as ch
 from tarifflow.operators import snapshots as sn
 from tarifflow.sources.payloads import normalize_payload, page_fields
 from tarifflow.sources.tables import current_snapshots, read_snapshots, write_snapshots
+from tarifflow.sources.texts import read_texts
 
 T0 = datetime(2026, 8, 1)
 PAYLOAD = "attempt_id INT, provider STRING, url STRING, scraped_at TIMESTAMP_NTZ, formats ARRAY<STRING>, body STRING, raised STRING"
@@ -237,6 +238,22 @@ def test_snapshot_table_keeps_history(spark, tmp_path):
     assert {(r.provider, r.content) for r in current_snapshots(table).collect()} == {("p", "x"), ("q", "three")}
 
 
+def test_stored_rows_move_once_and_narrow(spark, tmp_path):
+    """Rows that come from a table are not written down again; the last ones of a provider
+    and format go there by themselves, copies of an attempt included, not by their attempt."""
+    path = str(tmp_path / "snaps")
+    df = attempts(spark, [("p", "one"), ("p", "two"), ("q", "two"), ("q", None), ("p", "three")])
+    df = df.unionByName(df.where("attempt_id = 4"))
+    write_snapshots(sn.build_snapshots(df), path, stored=True)
+    rows = read_snapshots(spark, path, texts=False)
+    current = current_snapshots(rows, read_texts(spark, f"{path}/texts"))
+    got = sorted((r.provider, r.attempt_id, r.content, r.text_hash) for r in current.collect())
+    assert got == [(p, i, t, sha256(t.encode()).hexdigest()) for p, i, t in (("p", 4, "three"), ("p", 4, "three"), ("q", 2, "two"))]
+    plan = current.select("provider", "attempt_id")._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "hashpartitioning(attempt_id" not in plan
+    assert {r.scrape_hash for r in rows.collect()} == {r.content_hash for r in df.where("success").collect()}
+
+
 def test_upsert_keeps_first_place(spark):
     schema = "provider STRING, note STRING, scraped_at TIMESTAMP_NTZ, ord BIGINT"
     old = spark.createDataFrame([("a", "old", T0, 0), ("b", "old", T0, 1)], schema)
